@@ -1,0 +1 @@
+"""Every job of this library is a batch job over stored tables; there is no streaming operator to offer."""
