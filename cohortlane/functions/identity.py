@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlane.functions.columns import col
 
+# The functions that run in Python workers travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The exact spellings accepted for each canonical antimicrobial name.
 ANTIMICROBIAL_ALIASES = {
     "oxacillin": ("oxacillin", "苯唑西林"),
@@ -38,7 +44,7 @@ def _fold(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unicode_identity(values: pd.Series) -> pd.Series:
     """Normal form of any text; each distinct spelling in an Arrow batch is folded once."""
     folded = {text: _fold(text) for text in values.dropna().unique()}

@@ -5,17 +5,22 @@ The canonical form is the long sparse table ``(id, bin, value)``; a bin without
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.functions.columns import count_true, ratio
 from cohortlane.operators.ranked import exact_quantiles
 
+# The functions that run in Python workers travel with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class BinAxis:
