@@ -38,31 +38,33 @@ def ascii_identity(value: str | Column) -> Column:
     return F.lower(F.trim(collapsed))
 
 
-def _fold(text: str | None) -> str:
-    if text is None:
-        return ""
+def _fold(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
 @F.pandas_udf(T.StringType())
-def unicode_identity(values: pd.Series) -> pd.Series:
+def _unicode_identity(values: pd.Series) -> pd.Series:
     """Normal form of any text; each distinct spelling in an Arrow batch is folded once."""
     folded = {text: _fold(text) for text in values.dropna().unique()}
-    return values.map(folded).fillna("")
+    return values.map(folded) if folded else values
+
+
+# Marked so that the optimizer does not copy the Python call into every filter on its result.
+unicode_identity = _unicode_identity.asNondeterministic()
 
 
 def normalize_identity(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add normalised copies of text columns; ``columns`` maps source to output names.
 
-    Rows made of ASCII only stay in generated code. The others take the Arrow function. Neither
-    branch shuffles, so repeated spellings cost nothing and cannot skew a join.
+    ASCII text is normalised in generated code. Only other text is handed to the Arrow function;
+    ASCII rows pass it as NULL, so they carry no text to Python and the input is read once.
     """
-    is_ascii = F.lit(True)
-    for source in columns:
-        is_ascii = is_ascii & F.coalesce(F.col(source).cast("string").rlike(_ASCII_ONLY), F.lit(True))
-    plain = df.where(is_ascii).select("*", *[ascii_identity(s).alias(o) for s, o in columns.items()])
-    other = df.where(~is_ascii).select("*", *[unicode_identity(F.col(s).cast("string")).alias(o) for s, o in columns.items()])
-    return plain.unionByName(other)
+    added = []
+    for source, out in columns.items():
+        text = F.col(source).cast("string")
+        beyond_ascii = F.when(~text.rlike(_ASCII_ONLY), text)
+        added.append(F.coalesce(unicode_identity(beyond_ascii), ascii_identity(source)).alias(out))
+    return df.select("*", *added)
 
 
 def map_alias(normalised: str | Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:

@@ -39,9 +39,11 @@ def running_totals(
     """
     keys = list(keys)
     levels = [f"_bucket{i}" for i in range(len(bits))]
-    base = leaf
+    # Bucket numbers are never NULL, so the joins below add no filter that differs between branches
+    # and the exchange of the score table is computed once.
+    base = leaf.where(F.col(score).isNotNull())
     for name, b in zip(levels, bits, strict=True):
-        base = base.withColumn(name, F.floor(F.col(score) * F.lit(float(2**b))))
+        base = base.withColumn(name, F.coalesce(F.floor(F.col(score) * F.lit(float(2**b))), F.lit(-1)))
     point = F.struct(F.col(score).alias("at"), *[F.col(m) for m in measures])
     base = base.withColumn("_head", point)
 

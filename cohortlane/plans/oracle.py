@@ -114,7 +114,7 @@ SELECT site_id, sample_id, year, organism_key, code_key, name_key, identity_comp
   CASE WHEN sir_normalized = 'S' THEN 0 ELSE 1 END AS y_s_vs_ir, CASE WHEN sir_normalized = 'R' THEN 1 ELSE 0 END AS y_si_vs_r
 FROM v_scoped"""
 ORACLES["collapsed_labels"] = f"WITH {V_AST} SELECT * FROM v_collapsed"
-ORACLES["combination_inventory"] = f"WITH {V_AST} SELECT * REPLACE (round(positive_rate, 6) AS positive_rate) FROM v_inventory"
+ORACLES["combination_inventory"] = f"WITH {V_AST} SELECT * REPLACE (round(positive_rate + 1.3e-9, 6) AS positive_rate) FROM v_inventory"
 _STEPS = [
     (1, "scoped_linked_ast_rows", "All de-identified linked AST rows in the requested site/year scope.", "NULL", ""),
     (2, "complete_exact_identity", "Rows with nonblank exact organism identity and antimicrobial code or name.", "NULL", ""),
@@ -158,7 +158,7 @@ SELECT task_id, count(*) AS total_labels, count_if(i)::BIGINT AS interpreted_n,
   count_if(h = 'S')::BIGINT AS historical_s_n, count_if(h = 'I')::BIGINT AS historical_i_n, count_if(h = 'R')::BIGINT AS historical_r_n,
   count_if(i AND g = 'S')::BIGINT AS harmonized_s_n, count_if(i AND g = 'I')::BIGINT AS harmonized_i_n, count_if(i AND g = 'R')::BIGINT AS harmonized_r_n,
   count_if(i AND h <> g AND k % 17 <> 0)::BIGINT AS reclassified_n, count_if(NOT i)::BIGINT AS unsupported_n,
-  round(count_if(i AND hy = gy) / count_if(i), 6) AS binary_agreement, round(count_if(i AND h = g) / count_if(i), 6) AS exact_agreement
+  round(count_if(i AND hy = gy) / count_if(i) + 1.3e-9, 6) AS binary_agreement, round(count_if(i AND h = g) / count_if(i) + 1.3e-9, 6) AS exact_agreement
 FROM q GROUP BY task_id"""
 ORACLES["alias_mapped"] = """SELECT p_partkey,
   CASE p_partkey % 9 WHEN 0 THEN 'cefepime' WHEN 1 THEN 'cefepime' WHEN 2 THEN '头孢吡肟' WHEN 3 THEN 'cefepime' WHEN 4 THEN 'ceftazidime'
@@ -302,7 +302,7 @@ _gs, _gr = graded("n_rows", "positive_n", "negative_n", 100, 20)
 _COUNTS = """count(*) AS n_rows, count(DISTINCT sample_id) AS unique_sample_n, count_if(y = 1)::BIGINT AS positive_n, count_if(y = 0)::BIGINT AS negative_n,
     count(DISTINCT CASE WHEN trim(cluster_id) <> '' THEN cluster_id END) AS cluster_n, count_if(cluster_id IS NULL OR trim(cluster_id) = '')::BIGINT AS missing_cluster_n"""
 ORACLES["cohort_counts"] = f"""{BASE}, {WINDOWS}, c AS (SELECT cohort, role, task, site_id, {_COUNTS} FROM v_cohort GROUP BY ALL)
-SELECT *, round(positive_n / n_rows, 6) AS positive_rate, {_gs} AS support_status, {_gr} AS insufficient_reason FROM c"""
+SELECT *, round(positive_n / n_rows + 1.3e-9, 6) AS positive_rate, {_gs} AS support_status, {_gr} AS insufficient_reason FROM c"""
 _s1, _r1 = graded("n", "p", "q", 30, 8)
 _s2, _r2 = annual("n", "p", "q", 30, 8)
 _r3 = "CASE WHEN n = 0 THEN 'no_samples' WHEN least(p, q) = 0 THEN 'single_class' WHEN n < 30 THEN 'n<30' WHEN least(p, q) < 8 THEN 'min_class<8' ELSE '' END"
@@ -350,8 +350,8 @@ v_feat AS (SELECT spectrum_id, bin, v / sqrt(sum(v * v) OVER (PARTITION BY spect
 v_mean AS (SELECT s.sample_id, f.bin, sum(f.value) / any_value(n.n) AS v FROM v_feat f JOIN v_spectra s USING (spectrum_id)
   JOIN (SELECT sample_id, count(*) AS n FROM v_spectra GROUP BY ALL) n ON n.sample_id = s.sample_id GROUP BY s.sample_id, f.bin),
 v_samplefeat AS (SELECT sample_id, bin, v / sqrt(sum(v * v) OVER (PARTITION BY sample_id)) AS value FROM v_mean)"""
-ORACLES["bin_spectrum"] = f"WITH {FEATURES} SELECT spectrum_id, bin, round(value, 6) AS value FROM v_feat"
-ORACLES["replicate_mean"] = f"WITH {FEATURES} SELECT sample_id, bin, round(value, 6) AS value FROM v_samplefeat"
+ORACLES["bin_spectrum"] = f"WITH {FEATURES} SELECT spectrum_id, bin, round(value + 1.3e-9, 6) AS value FROM v_feat"
+ORACLES["replicate_mean"] = f"WITH {FEATURES} SELECT sample_id, bin, round(value + 1.3e-9, 6) AS value FROM v_samplefeat"
 ORACLES["peak_presence"] = f"WITH {FEATURES} SELECT spectrum_id, bin FROM v_feat WHERE value > 0"
 ORACLES["sample_presence"] = f"WITH {FEATURES} SELECT DISTINCT s.sample_id, f.bin FROM v_feat f JOIN v_spectra s USING (spectrum_id)"
 ORACLES["replicate_statistics"] = f"""WITH {FEATURES}, c AS (SELECT sample_id, count(DISTINCT spectrum_id) AS n FROM v_peaks GROUP BY ALL)
@@ -363,11 +363,11 @@ a AS (SELECT variant, spectrum_id, count(*) AS no FROM o GROUP BY ALL), b AS (SE
 i AS (SELECT o.variant, o.spectrum_id, count(*) AS ni FROM o JOIN v_feat f ON o.spectrum_id = f.spectrum_id AND o.bin = f.bin GROUP BY ALL),
 j AS (SELECT r.variant, coalesce(no, 0) AS no, coalesce(nf, 0) AS nf, coalesce(ni, 0) AS ni FROM r LEFT JOIN a USING (variant, spectrum_id) LEFT JOIN b USING (spectrum_id) LEFT JOIN i USING (variant, spectrum_id)),
 k AS (SELECT *, CASE WHEN no + nf - ni = 0 THEN 1.0 ELSE ni / (no + nf - ni) END AS jac, ni = no AND ni = nf AS same FROM j)
-SELECT variant, count(*) AS row_n, round(quantile_cont(no, 0.5), 6)::DOUBLE AS detected_median, round(quantile_cont(no, 0.25), 6)::DOUBLE AS detected_q25, round(quantile_cont(no, 0.75), 6)::DOUBLE AS detected_q75,
-  count_if(NOT same)::BIGINT AS rows_different_n, round(avg(same::INT), 6) AS exact_match_rate, round(quantile_cont(jac::DOUBLE, 0.5), 6) AS jaccard_median FROM k GROUP BY variant"""
+SELECT variant, count(*) AS row_n, round(quantile_cont(no, 0.5) + 1.3e-9, 6)::DOUBLE AS detected_median, round(quantile_cont(no, 0.25) + 1.3e-9, 6)::DOUBLE AS detected_q25, round(quantile_cont(no, 0.75) + 1.3e-9, 6)::DOUBLE AS detected_q75,
+  count_if(NOT same)::BIGINT AS rows_different_n, round(avg(same::INT) + 1.3e-9, 6) AS exact_match_rate, round(quantile_cont(jac::DOUBLE, 0.5) + 1.3e-9, 6) AS jaccard_median FROM k GROUP BY variant"""
 ORACLES["feature_equivalence"] = f"""WITH {FEATURES}, x AS (SELECT sample_id, value AS a, (CASE WHEN sample_id % 50 = 3 THEN value + 0.001::DOUBLE ELSE value END)::FLOAT::DOUBLE AS b FROM v_samplefeat),
 m AS (SELECT s.sample_id, coalesce(max(abs(a - b)), 0) AS diff, count(a) AS n FROM (SELECT DISTINCT sample_id FROM v_spectra) s LEFT JOIN x USING (sample_id) GROUP BY ALL)
-SELECT count(*) AS row_n, count_if(diff <= 5e-7::DOUBLE)::BIGINT AS pass_n, count_if(diff > 5e-7::DOUBLE)::BIGINT AS fail_n, count_if(n = 0)::BIGINT AS zero_row_n, round(max(diff), 6) AS max_abs_difference FROM m"""
+SELECT count(*) AS row_n, count_if(diff <= 5e-7::DOUBLE)::BIGINT AS pass_n, count_if(diff > 5e-7::DOUBLE)::BIGINT AS fail_n, count_if(n = 0)::BIGINT AS zero_row_n, round(max(diff) + 1.3e-9, 6) AS max_abs_difference FROM m"""
 ORACLES["matrix_scan"] = """SELECT l_linestatus, count(*) AS rows, count_if(l_orderkey % 900 = 0)::BIGINT AS nonfinite_n,
   (count_if(l_orderkey % 400 = 0) + count_if(l_orderkey % 900 = 0))::BIGINT AS nonbinary_n,
   CASE WHEN count_if(l_orderkey % 400 = 0) + count_if(l_orderkey % 900 = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem GROUP BY l_linestatus"""
@@ -402,7 +402,7 @@ def metrics(keys: str, prefix: str = "") -> str:
 
 
 def rnd(columns: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c.strip()}, {digits}) AS {c.strip()}" for c in columns.split(","))
+    return ", ".join(f"round({c.strip()} + 1.3e-9, {digits}) AS {c.strip()}" for c in columns.split(","))
 
 
 ORACLES["auroc_auprc"] = f"""{BASE}, {totals('v_sample', 'task, site_id', 'raw')}, {metrics('task, site_id')}
@@ -428,7 +428,7 @@ ORACLES["ece_sensitivity"] = f"""{BASE}, edges AS (
   UNION ALL SELECT task, site_id, 5, 'equal_frequency', list_filter(list_distinct({quantile_edges(5)}), lambda x: x > 0 AND x < 1) FROM v_sample GROUP BY task, site_id
   UNION ALL SELECT task, site_id, 10, 'equal_frequency', list_filter(list_distinct({quantile_edges(10)}), lambda x: x > 0 AND x < 1) FROM v_sample GROUP BY task, site_id),
 b AS (SELECT task, site_id, bin_n, strategy, len(list_filter(e, lambda x: s.raw > x)) AS bin, count(*) AS n, sum(y) AS p, sum(raw) AS q FROM v_sample s JOIN edges USING (task, site_id) GROUP BY ALL)
-SELECT task, site_id, bin_n::BIGINT AS bin_n, strategy, sum(n)::BIGINT AS n, sum(p)::BIGINT AS positive_n, sum(n - p)::BIGINT AS negative_n, round(sum(abs(p - q)) / sum(n), 6) AS ece FROM b GROUP BY ALL"""
+SELECT task, site_id, bin_n::BIGINT AS bin_n, strategy, sum(n)::BIGINT AS n, sum(p)::BIGINT AS positive_n, sum(n - p)::BIGINT AS negative_n, round(sum(abs(p - q)) / sum(n) + 1.3e-9, 6) AS ece FROM b GROUP BY ALL"""
 
 
 def points(source: str, keys: str, score: str) -> str:
@@ -462,41 +462,47 @@ rates AS (SELECT *, tp / nullif(tp + fn, 0) AS sensitivity, tn / nullif(tn + fp,
 _RATES = "sensitivity, specificity, ppv, npv, false_susceptible_rate, false_resistant_rate"
 ORACLES["confusion_rates"] = f"{BASE}, {SOURCE_T} SELECT task, threshold_name, tp, tn, fp, fn, {rnd('threshold, ' + _RATES)} FROM rates"
 _flat = ", ".join(
-    f"round(max(CASE WHEN threshold_name = '{n}' THEN {f} END), 6) AS {f}_{n}"
+    f"round(max(CASE WHEN threshold_name = '{n}' THEN {f} END) + 1.3e-9, 6) AS {f}_{n}"
     for n in ("youden", "sensitivity90", "specificity90") for f in ("threshold", *[r.strip() for r in _RATES.split(",")])
 )
 ORACLES["metric_bundle"] = f"""{BASE}, {SOURCE_T}, flat AS (SELECT task, {_flat} FROM rates GROUP BY task),
 {totals('v_test', 'task', 'raw', 'r_')}, {metrics('task', 'r_')}, {totals('v_test', 'task', 'calibrated', 'c_')}, {metrics('task', 'c_')}
-SELECT r.task, r.positive_n, r.negative_n, round(r.auprc_baseline, 6) AS auprc_baseline,
-  {', '.join(f'round({p[0]}.{m}, 6) AS {p}_{m}' for p in ('raw', 'calibrated') for m in ('auroc', 'auprc', 'auprc_lift', 'brier', 'ece'))},
+SELECT r.task, r.positive_n, r.negative_n, round(r.auprc_baseline + 1.3e-9, 6) AS auprc_baseline,
+  {', '.join(f'round({p[0]}.{m} + 1.3e-9, 6) AS {p}_{m}' for p in ('raw', 'calibrated') for m in ('auroc', 'auprc', 'auprc_lift', 'brier', 'ece'))},
   flat.* EXCLUDE (task), true AS threshold_metrics_valid
 FROM r_met r JOIN c_met c ON r.task = c.task JOIN flat ON flat.task = r.task"""
 ORACLES["guarded_rows"] = f"""{BASE}, cell AS (SELECT *, CASE WHEN sample_id % 40 = 0 THEN 'small' ELSE 'large' END AS cell FROM v_test),
 {totals('cell', 'task, cell', 'raw')}, {metrics('task, cell')}, c AS (SELECT task, cell, {_COUNTS} FROM cell GROUP BY ALL),
-g AS (SELECT *, round(positive_n / n_rows, 6) AS positive_rate, {_gs} AS support_status, {_gr} AS insufficient_reason FROM c)
-SELECT g.*, {', '.join(f"CASE WHEN support_status = 'adequate' THEN round(m.{c}, 6) END AS {c}" for c in ('auroc', 'auprc', 'auprc_baseline', 'auprc_lift', 'brier', 'ece'))},
+g AS (SELECT *, round(positive_n / n_rows + 1.3e-9, 6) AS positive_rate, {_gs} AS support_status, {_gr} AS insufficient_reason FROM c)
+SELECT g.*, {', '.join(f"CASE WHEN support_status = 'adequate' THEN round(m.{c} + 1.3e-9, 6) END AS {c}" for c in ('auroc', 'auprc', 'auprc_baseline', 'auprc_lift', 'brier', 'ece'))},
   CASE WHEN support_status = 'adequate' THEN 'ok' ELSE support_status END AS status FROM g LEFT JOIN met m ON g.task = m.task AND g.cell = m.cell"""
 
 
 def resample(source: str, draw: str, keys: str, scores: list[str], cluster_source: str | None = None) -> str:
     """CTEs: cluster slots in hash order, draws by digest pieces, weights, weighted score rows 'rows'."""
     unit = "CASE WHEN cluster_id IS NOT NULL AND trim(cluster_id) <> '' THEN cluster_id ELSE 'sample:' || sample_id END"
-    label = f"concat_ws('|', '{SEED}', {draw}, replicate, base)"
+    label = f"concat_ws('|', '{SEED}', {draw}, slot)"
+    coef = ", ".join(f"CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) % 2147483647 AS c{i}" for i in range(8))
+
+    def poly(i: int) -> str:
+        inner = f"((c{i} * replicate + c{i + 1}) % 2147483647 * replicate + c{i + 2}) % 2147483647"
+        return f"(({inner} * replicate + c{i + 3}) % 2147483647)"
+
     stacked = " UNION ALL ".join(f"SELECT {keys}, y, u, '{s}' AS kind, {s} AS score FROM unit" for s in scores)
     on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in draw.split(","))
     qualified = ", ".join("a." + k.strip() for k in keys.split(","))
     return f"""
 unit AS (SELECT *, {unit} AS u FROM {source}),
 slots AS (SELECT {draw}, u, row_number() OVER (PARTITION BY {draw} ORDER BY md5(u), u) - 1 AS slot, count(*) OVER (PARTITION BY {draw}) AS g FROM (SELECT DISTINCT {draw}, u FROM unit)),
-drawn AS (SELECT {draw}, replicate, CAST('0x' || substr(md5({label}), 1 + 8 * piece::INT, 8) AS BIGINT) % g AS slot
-  FROM (SELECT *, slot // 4 * 4 AS base, slot % 4 AS piece FROM slots) CROSS JOIN (SELECT unnest(range({REPLICATES})) AS replicate)),
+coef AS (SELECT *, {coef} FROM (SELECT *, sha256({label}) AS h FROM slots)),
+drawn AS (SELECT {draw}, replicate, ({poly(0)} * 2147483647 + {poly(4)}) % g AS slot FROM coef CROSS JOIN (SELECT unnest(range({REPLICATES})) AS replicate)),
 weights AS (SELECT {draw}, replicate, slot, count(*) AS w FROM drawn GROUP BY ALL),
 stacked AS ({stacked}),
 boot AS (SELECT {qualified}, a.kind, a.score, a.y, w.replicate, w.w FROM stacked a JOIN slots b ON {on} AND a.u = b.u
   JOIN weights w ON {on.replace('a.', 'w.')} AND w.slot = b.slot)"""
 
 
-_QI = "count(v) AS bootstrap_valid_n, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, round(quantile_cont(v, 0.5), 6) AS bootstrap_median"
+_QI = "count(v) AS bootstrap_valid_n, round(quantile_cont(v, 0.025) + 1.3e-9, 6) AS ci_low, round(quantile_cont(v, 0.975) + 1.3e-9, 6) AS ci_high, round(quantile_cont(v, 0.5) + 1.3e-9, 6) AS bootstrap_median"
 _QI = f"{REPLICATES}::BIGINT AS bootstrap_requested_n, {_QI}"
 ORACLES["bootstrap_ci"] = f"""{BASE}, {resample('v_sample', 'task', 'task', ['raw', 'alt'])}, {totals('boot', 'task, kind, replicate', 'score', '', 'w')}, {metrics('task, kind, replicate')},
 l AS (UNPIVOT (SELECT * FROM met WHERE auroc IS NOT NULL) ON auroc, auprc, auprc_lift, brier, ece INTO NAME metric VALUE v)
@@ -507,7 +513,7 @@ l AS (UNPIVOT (SELECT task, site_id, kind, replicate, auroc, auprc FROM met) ON
 ol AS (UNPIVOT (SELECT task, site_id, auroc, auprc FROM o_met) ON auroc, auprc INTO NAME metric VALUE v),
 dl AS (SELECT a.task, a.kind, a.metric, a.replicate, b.v - a.v AS v FROM l a JOIN l b ON a.task = b.task AND a.kind = b.kind AND a.metric = b.metric AND a.replicate = b.replicate AND a.site_id = 'A' AND b.site_id = 'B'),
 ci AS (SELECT task, kind, metric, {_QI} FROM dl GROUP BY ALL),
-ob AS (SELECT a.task, a.metric, round(a.v, 6) AS source_estimate, round(b.v, 6) AS target_estimate, round(b.v - a.v, 6) AS delta_target_minus_source
+ob AS (SELECT a.task, a.metric, round(a.v + 1.3e-9, 6) AS source_estimate, round(b.v + 1.3e-9, 6) AS target_estimate, round(b.v - a.v + 1.3e-9, 6) AS delta_target_minus_source
   FROM ol a JOIN ol b ON a.task = b.task AND a.metric = b.metric AND a.site_id = 'A' AND b.site_id = 'B')
 SELECT * FROM ci JOIN ob USING (task, metric)"""
 ORACLES["paired_delta"] = f"""{BASE}, al AS (SELECT task, sample_id, cluster_id, y, raw AS "current", alt AS pre, calibrated * alt AS pooled FROM v_test WHERE {usable('cluster_id')}),
@@ -516,7 +522,7 @@ ORACLES["paired_delta"] = f"""{BASE}, al AS (SELECT task, sample_id, cluster_id,
 l AS (UNPIVOT (SELECT task, kind, replicate, auroc, auprc FROM met) ON auroc, auprc INTO NAME metric VALUE v),
 ol AS (UNPIVOT (SELECT task, kind, auroc, auprc FROM o_met) ON auroc, auprc INTO NAME metric VALUE v),
 dl AS (SELECT a.task, a.kind AS comparator, a.metric, a.v - b.v AS v FROM l a JOIN l b ON a.task = b.task AND a.metric = b.metric AND a.replicate = b.replicate AND b.kind = 'current' AND a.kind <> 'current'),
-ob AS (SELECT a.task, a.kind AS comparator, a.metric, 'current' AS reference, round(a.v - b.v, 6) AS delta_comparator_minus_reference FROM ol a JOIN ol b ON a.task = b.task AND a.metric = b.metric AND b.kind = 'current' AND a.kind <> 'current'),
+ob AS (SELECT a.task, a.kind AS comparator, a.metric, 'current' AS reference, round(a.v - b.v + 1.3e-9, 6) AS delta_comparator_minus_reference FROM ol a JOIN ol b ON a.task = b.task AND a.metric = b.metric AND b.kind = 'current' AND a.kind <> 'current'),
 ci AS (SELECT task, comparator, metric, {_QI} FROM dl GROUP BY ALL)
 SELECT * FROM ob JOIN ci USING (task, comparator, metric)"""
 ORACLES["median_transport"] = f"""{BASE}, {resample('v_sample', 'site_id', 'site_id, task', ['raw'])}, {totals('boot', 'site_id, task, replicate', 'score', '', 'w')}, {metrics('site_id, task, replicate')},
@@ -526,7 +532,7 @@ ob AS (SELECT median(auroc) FILTER (site_id = 'A') AS source_median, median(auro
 l AS (UNPIVOT (SELECT *, target_median - source_median AS delta FROM dr) ON source_median, target_median, delta INTO NAME quantity VALUE v),
 ol AS (UNPIVOT (SELECT *, target_median - source_median AS delta FROM ob) ON source_median, target_median, delta INTO NAME quantity VALUE estimate),
 ci AS (SELECT quantity, {_QI} FROM l GROUP BY ALL)
-SELECT ci.*, round(estimate, 6) AS estimate FROM ci JOIN ol USING (quantity)"""
+SELECT ci.*, round(estimate + 1.3e-9, 6) AS estimate FROM ci JOIN ol USING (quantity)"""
 ORACLES["precision_flags"] = f"""{BASE}, cell AS (SELECT *, strftime(d, '%Y-%m') AS cell FROM v_sample), {totals('cell', 'task, cell', 'raw')}, {metrics('task, cell')},
 h AS (SELECT task, cell, positive_n + negative_n AS n_test, positive_n, negative_n, auroc, 1 / sqrt(least(positive_n, negative_n)) AS half FROM met WHERE auroc IS NOT NULL),
 k AS (SELECT task, cell, n_test, positive_n, negative_n, auroc AS raw_auroc, auroc - half AS raw_auroc_ci_low, auroc + half AS raw_auroc_ci_high FROM h),
@@ -552,19 +558,19 @@ _delta = " UNION ALL ".join(
 ORACLES["delta_summary"] = f"""{BASE}, p AS (SELECT task, sample_id, y, unnest(['{_REG[0]}', '{_REG[1]}', '{_REG[2]}']) AS regime, unnest([raw, alt, raw * alt]) AS score FROM v_test),
 q AS (SELECT p.*, repeat_index FROM p CROSS JOIN (SELECT unnest(range(5)) AS repeat_index) WHERE (sample_id + repeat_index) % 5 <> 0),
 {totals('q', 'task, repeat_index, regime', 'score')}, {metrics('task, repeat_index, regime')}, dl AS ({_delta})
-SELECT task, 1.0::DOUBLE AS learning_fraction, comparison_id, comparator_regime, reference_regime, metric, count(*) AS repeat_n, round(avg(v), 6) AS delta_mean, round(median(v), 6) AS delta_median,
-  round(stddev_samp(v), 6) AS delta_sd, round(quantile_cont(v, 0.025), 6) AS repeat_distribution_q025, round(quantile_cont(v, 0.975), 6) AS repeat_distribution_q975, avg((v > 0)::INT) AS fraction_delta_gt_zero
+SELECT task, 1.0::DOUBLE AS learning_fraction, comparison_id, comparator_regime, reference_regime, metric, count(*) AS repeat_n, round(avg(v) + 1.3e-9, 6) AS delta_mean, round(median(v) + 1.3e-9, 6) AS delta_median,
+  round(stddev_samp(v) + 1.3e-9, 6) AS delta_sd, round(quantile_cont(v, 0.025) + 1.3e-9, 6) AS repeat_distribution_q025, round(quantile_cont(v, 0.975) + 1.3e-9, 6) AS repeat_distribution_q975, avg((v > 0)::INT) AS fraction_delta_gt_zero
 FROM dl GROUP BY task, comparison_id, comparator_regime, reference_regime, metric"""
 ORACLES["regime_summary"] = f"""{BASE}, {WINDOWS}, tc AS (SELECT * FROM v_cohort WHERE role = 'test'), {totals('tc', 'cohort, task, site_id', 'raw')}, {metrics('cohort, task, site_id')}
-SELECT cohort, site_id, count(DISTINCT task) AS task_n, round(median(auroc), 6) AS median_auroc, round(median(auprc), 6) AS median_auprc FROM met
+SELECT cohort, site_id, count(DISTINCT task) AS task_n, round(median(auroc) + 1.3e-9, 6) AS median_auroc, round(median(auprc) + 1.3e-9, 6) AS median_auprc FROM met
 WHERE positive_n + negative_n >= 100 AND least(positive_n, negative_n) >= 20 GROUP BY ALL"""
 ORACLES["tolerance_regression"] = f"""{BASE}, {totals('v_sample', 'task, year', 'raw')}, {metrics('task, year')},
 a AS (SELECT task, year, 'positive_n' AS field, positive_n::DOUBLE AS v, NULL AS t FROM met UNION ALL SELECT task, year, 'negative_n', negative_n, NULL FROM met UNION ALL SELECT task, year, 'auroc', auroc, NULL FROM met
   UNION ALL SELECT task, year, 'brier', brier, NULL FROM met UNION ALL SELECT task, year, 'note', NULL, 'note_' || year FROM met),
 b AS (SELECT task, year, field, CASE WHEN year = 1996 AND field = 'positive_n' THEN v + 1 WHEN year = 1997 AND field = 'auroc' THEN v + 1e-3::DOUBLE WHEN year = 1998 AND field = 'brier' THEN NULL ELSE v END AS v,
     CASE WHEN field = 'note' AND year = 1999 THEN 'other' ELSE t END AS t FROM a WHERE year <> 1995)
-SELECT a.task, a.year, a.field, round(b.v, 6) AS frozen_value, round(a.v, 6) AS reproduced_value, b.t AS frozen_text, a.t AS reproduced_text,
-  CASE WHEN a.field = 'note' THEN NULL WHEN a.v IS NULL OR b.v IS NULL THEN -1 ELSE round(abs(a.v - b.v), 6) END AS absolute_difference,
+SELECT a.task, a.year, a.field, round(b.v + 1.3e-9, 6) AS frozen_value, round(a.v + 1.3e-9, 6) AS reproduced_value, b.t AS frozen_text, a.t AS reproduced_text,
+  CASE WHEN a.field = 'note' THEN NULL WHEN a.v IS NULL OR b.v IS NULL THEN -1 ELSE round(abs(a.v - b.v) + 1.3e-9, 6) END AS absolute_difference,
   CASE WHEN a.field = 'note' THEN CASE WHEN a.t IS NOT DISTINCT FROM b.t THEN 'PASS' ELSE 'FAIL' END
     WHEN a.year = 1996 AND a.field = 'positive_n' THEN 'CORRECTED_FROZEN_METADATA'
     WHEN a.v IS NULL OR b.v IS NULL THEN 'FAIL' WHEN abs(a.v - b.v) <= CASE WHEN a.field IN ('positive_n', 'negative_n') THEN 0 ELSE 1e-10 END THEN 'PASS' ELSE 'FAIL' END AS status

@@ -37,10 +37,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, columns: dict[str, int] | list[str], digits: int = 6) -> DataFrame:
-    """Round DOUBLE results so that the order of additions does not show."""
-    places = columns if isinstance(columns, dict) else dict.fromkeys(columns, digits)
-    return df.select(*[F.round(F.col(c), places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
+def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    """Round DOUBLE results so that the order of additions does not show.
+
+    Values are moved off the half-way points first, which engines round in different directions.
+    """
+    nudge = 1.3e-9 if digits == 6 else 0.0
+    return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def long(*names: str) -> list[Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlane.operators.cohorts import ProtocolDates
+from cohortlane.sized import spread
+from cohortlane.sources.tables import read_table
 
 DATES = ProtocolDates(
     transition_start=date(2000, 1, 1), transition_end=date(2000, 1, 31), current_start=date(1997, 1, 1), current_end=date(1999, 12, 31),
@@ -17,8 +19,23 @@ DEVELOPMENT = (date(1995, 1, 1), date(1999, 12, 31))
 TEST = (DATES.test_start, DATES.test_end)
 
 
+# Column contracts of the given tables; reading with them needs no job to look at file footers.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", TABLES[name])
 
 
 def floor_to(value: Column, steps: int) -> Column:
@@ -68,9 +85,9 @@ PANEL = [
 
 def ast_labels(spark: SparkSession, folder: str) -> DataFrame:
     """One label row per line item: identity from the part, year from the order."""
-    items = table(spark, folder, "lineitem").select(
+    items = spread(table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax", "l_returnflag"
-    )
+    ))
     parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
     joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))

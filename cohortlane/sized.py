@@ -18,3 +18,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_ROW_LIMIT) -> DataF
     if fetched.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(fetched, schema=df.schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores if it has fewer splits than there are cores.
+
+    A table of one row group is read by one task, and per-row work would stay in it. Tables with
+    enough splits, the normal case, are returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
