@@ -17,9 +17,11 @@ from cohortlane.operators import contracts as K
 from cohortlane.operators import features as S
 from cohortlane.operators import labels as L
 from cohortlane.operators import metrics as M
+from cohortlane.operators import models as N
 from cohortlane.operators import sampling as Z
 from cohortlane.plans import views as V
 from cohortlane.plans.audit import collapsed_with_features, label_audit
+from cohortlane.session import cut_lineage
 from cohortlane.sources.artifacts import artifact_manifest, pattern_audit, verify_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -729,3 +731,139 @@ def platt_calibration(spark, sf):
         ).join(fitted, "task"),
         ["mean_probability", "platt_slope", "platt_intercept"],
     )
+
+
+# --- models ------------------------------------------------------------------------------------
+
+def embedding_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Development, folds, test and features of the embedding table: block f validates after blocks < f."""
+    rows = V.embeddings(spark, sf)
+    features = N.as_vectors(rows.select("sample_id", "values"))
+    base = rows.drop("values")
+    development = base.where(F.col("block") < 4)
+    fold = F.explode(F.array(*[F.lit(f) for f in (1, 2, 3)])).alias("fold_index")
+    folds = development.select("task", "sample_id", "y", "block", fold).where(F.col("block") <= F.col("fold_index")).withColumn(
+        "split", F.when(F.col("block") < F.col("fold_index"), "train").otherwise("validation")
+    ).drop("block")
+    test = base.where(F.col("block") == 4).withColumn("cohort_id", F.lit("test"))
+    return development.drop("block"), folds, test.drop("block"), features
+
+
+@query
+def logistic_tuned(spark, sf):
+    """Scores of all logistic candidates on all folds."""
+    _, folds, _, features = embedding_tables(spark, sf)
+    rows = cut_lineage(N.join_features(folds, features))
+    learner = N.LogisticLearner(max_iter=25)
+    return N.tune(rows, learner, learner.grid(), SEED)[0]
+
+
+@query
+def logistic_protocol(spark, sf):
+    """Tune, out-of-fold scores, Platt, thresholds, refit and the metric bundle of the test cohort."""
+    development, folds, test, features = embedding_tables(spark, sf)
+    run = N.run_protocol(development, folds, test, features, N.LogisticLearner(max_iter=25), SEED,
+                         grid=[{"C": c, "class_weight": w} for c in (0.01, 1.0) for w in (None, "balanced")])
+    return N.evaluate_run(run, calibration=True)
+
+
+@query
+def logistic_intervals(spark, sf):
+    """Bootstrap intervals of fixed-parameter predictions, all test rows and entity-disjoint rows."""
+    development, folds, test, features = embedding_tables(spark, sf)
+    run = N.run_protocol(development, folds, test, features, N.LogisticLearner(max_iter=25), SEED, fixed={"emb": {"C": 0.1, "class_weight": None}})
+    run.predictions = run.predictions.unionByName(N.disjoint_predictions(run, development).withColumn("cohort_id", F.lit("test_disjoint")))
+    return N.interval_table(run, REPLICATES, SEED)
+
+
+@query
+def tree_tuned(spark, sf):
+    """Two boosted-tree candidates on all folds, with few rounds."""
+    _, folds, _, features = embedding_tables(spark, sf)
+    rows = cut_lineage(N.join_features(folds, features))
+    learner = N.TreeLearner(rounds=5)
+    grid = [p for p in learner.grid() if p["leaves"] == 15 and p["min_rows"] == 20]
+    return N.tune(rows, learner, grid, SEED)[1]
+
+
+COARSE = S.BinAxis(width=600.0)
+
+
+def spectrum_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Coarse binned spectra as vectors; every order has a row, also one without a peak."""
+    binned = S.dense_vectors(S.bin_spectra(V.peaks(spark, sf), COARSE), "spectrum_id", COARSE.n_bins)
+    zeros = F.array(*[F.lit(0.0)] * COARSE.n_bins)
+    all_rows = V.spectra(spark, sf).select("spectrum_id").join(binned, "spectrum_id", "left")
+    return N.as_vectors(all_rows.select(F.col("spectrum_id").alias("sample_id"), F.coalesce("values", zeros).alias("values")))
+
+
+@query
+def source_only_sites(spark, sf):
+    """Models of the first site's development rows, evaluated on later rows of both sites.
+
+    The purge keeps the first site's test entity-disjoint; calibration uses the raw probability.
+    """
+    base = V.samples(spark, sf).select("task", "sample_id", "site_id", "cluster_id", "d", "y")
+    development = V.development(base).where(F.col("site_id") == "A").drop("site_id")
+    folds = C.month_fold_rows(development).select("task", "fold_index", "split", "sample_id", "y")
+    later = V.test_rows(base)
+    source = C.purge(development, later.where(F.col("site_id") == "A"), BY_TASK).withColumn("cohort_id", F.lit("source"))
+    target = later.where(F.col("site_id") == "B").withColumn("cohort_id", F.lit("target"))
+    evaluation = source.unionByName(target).drop("site_id", "d")
+    fixed = {t: {"C": 1.0, "class_weight": "positive_ratio"} for t in TASKS}
+    run = N.run_protocol(development.drop("d"), folds, evaluation, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), SEED,
+                         fixed=fixed, platt_on_logit=False)
+    counts = C.cohort_counts(run.predictions, ["task", "cohort_id"])
+    return M.guarded_rows(counts, N.evaluate_run(run), ["task", "cohort_id"])
+
+
+TASKS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query
+def size_matched_run(spark, sf):
+    """Models of size-matched training cells of three regimes on one entity-disjoint test, compared in pairs."""
+    pools = eras(spark, sf)
+    cells = Z.size_matched_cells(pools, repeats=1, seed=SEED, fractions=(1.0,), prespecified=False)
+    cells = cells.withColumn("cell", F.concat_ws("|", F.col("repeat_index").cast("string"), "learning_fraction", "training_regime"))
+    test = C.purge(pools, V.test_rows(V.samples(spark, sf)), BY_TASK)
+    scored = N.fit_cells(cells, test, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), {"C": 0.1, "class_weight": None}, SEED, ["task", "cell"])
+    keys = ["task", "cell"]
+    scores = M.score_metrics(scored, keys, "raw_probability")
+    audit = Z.cell_audit(cells)
+    signature = R.tree_digest(test, BY_TASK, R.row_text(["sample_id", "cluster_id", "y"], "|")).select(
+        "task", F.col("tree_sha256").alias("fixed_test_signature"), F.col("n").alias("n_test")
+    )
+    metrics = audit.withColumn("cell", F.concat_ws("|", F.col("repeat_index").cast("string"), "learning_fraction", "training_regime")).join(
+        scores.select(*keys, F.col("auroc").alias("raw_auroc"), F.col("auprc").alias("raw_auprc")), keys
+    ).join(signature, "task")
+    return Z.paired_deltas(metrics)
+
+
+@query
+def history_run(spark, sf):
+    """One common test, models of three training regimes with fixed parameters, paired bootstrap of the differences."""
+    base = V.samples(spark, sf).where(X.usable("cluster_id"))
+    regimes = [w for w in V.DATES.regimes() if w.role == "development"]
+    training = C.assign_windows(base, regimes).select("task", F.col("cohort").alias("training_regime"), "sample_id", "cluster_id", "y").distinct()
+    test = C.purge(training, V.test_rows(base), BY_TASK)
+    scored = N.fit_cells(training, test, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), {"C": 0.1, "class_weight": None}, SEED,
+                         ["task", "training_regime"])
+    names = ("pre_marker_history_only", "current_workflow_only", "pooled_pre_and_current")
+    aligned = R.align_regimes(scored, ["task", "sample_id", "cluster_id", "y"], "training_regime", names, "raw_probability")
+    return B.paired_differences(aligned, BY_TASK, names, "current_workflow_only", replicates=REPLICATES, seed=SEED)
+
+
+@query
+def annual_cells(spark, sf):
+    """Train on all years before the last, adequate yearly folds, test on the last year, all and entity-disjoint."""
+    base = V.samples(spark, sf).select("task", "sample_id", "cluster_id", "d", "year", "y")
+    development, last = base.where(F.col("year") < 2000), base.where(F.col("year") == 2000)
+    folds = C.year_fold_rows(development, C.year_fold_audit(development)).select("task", "fold_index", "split", "sample_id", "y")
+    everything = last.withColumn("cohort_id", F.lit("all_samples"))
+    run = N.run_protocol(development, folds, everything, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), SEED,
+                         fixed={t: {"C": 0.1, "class_weight": None} for t in TASKS})
+    disjoint = C.purge(development, run.predictions, BY_TASK, mode="annual").withColumn("cohort_id", F.lit("entity_disjoint"))
+    run.predictions = run.predictions.unionByName(disjoint)
+    counts = C.cohort_counts(run.predictions, ["task", "cohort_id"])
+    return M.guarded_rows(counts, N.evaluate_run(run), ["task", "cohort_id"])
