@@ -99,9 +99,10 @@ def bin_spectra(peaks: DataFrame, axis: BinAxis = BinAxis(), *, spectrum: str =
     mz, intensity = F.col("mz").cast("double"), F.col("intensity").cast("double")
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
     valid = F.coalesce(finite(mz) & finite(intensity) & (intensity >= 0), F.lit(False))
-    checked = F.when(valid, intensity).otherwise(F.raise_error(F.lit("non-finite or negative peak value")).cast("double"))
+    # The check is part of the m/z value, so the axis filter below cannot drop a bad row unseen.
+    checked = F.when(valid, mz).otherwise(F.raise_error(F.lit("non-finite or negative peak value")).cast("double"))
     highest = (
-        peaks.select(spectrum, mz.alias("mz"), checked.alias("intensity"))
+        peaks.select(spectrum, checked.alias("mz"), intensity.alias("intensity"))
         .where(axis.covers(F.col("mz")))
         .groupBy(spectrum, axis.bin(F.col("mz")).alias("bin"))
         .agg(F.max("intensity").alias("intensity"))
