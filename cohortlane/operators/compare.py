@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.functions.columns import count_true
+from cohortlane.session import cut_lineage
 from cohortlane.sized import checked_broadcast
 
 METRIC_TOLERANCE = 1e-10
@@ -126,26 +127,24 @@ def membership_digest(
 
 # --- ordinals ----------------------------------------------------------------------------------
 
-def row_ordinal(df: DataFrame, keys: Sequence[str], day: str, sample: str, out: str = "row_order", parts: int = 4096) -> DataFrame:
+PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the row number in the lower 33 bits
+
+
+def row_ordinal(df: DataFrame, keys: Sequence[str], day: str, sample: str, out: str = "row_order") -> DataFrame:
     """0-based position by (day, sample id) within each group, for groups of any size.
 
-    Days are counted first. Within a day, the numeric ids are cut into equal ranges between that
-    day's lowest and highest id, so even a day with a third of all rows is ordered in many tasks.
+    The rows are range-partitioned by the whole order, so a group or a day with a third of all rows is
+    spread over many tasks, and stored. A position is the row's place in its stored partition plus
+    the rows of its group in earlier partitions; there is one small row per partition and group.
     """
     keys = list(keys)
-    bad = F.raise_error(F.lit("row without a date")).cast("date")
-    dated = df.withColumn("_day", F.coalesce(F.col(day), bad))
-    borders = dated.groupBy(*keys, "_day").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(sample).alias("_low"), F.max(sample).alias("_high")
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = borders.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    placed = dated.join(days, [*keys, "_day"]).withColumn(
-        "_part", F.floor((F.col(sample) - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1) * parts)
-    )
-    counts = placed.groupBy(*keys, "_day", "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    inside = Window.partitionBy(*keys, "_day").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_day", "_part", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, "_day", "_part").orderBy(sample)
-    ranked = placed.withColumn("_rank", F.row_number().over(local)).join(offsets, [*keys, "_day", "_part"])
-    return ranked.select(*df.columns, (F.col("_before") + F.col("_offset") + F.col("_rank") - 1).alias(out))
+    bad = F.raise_error(F.lit("row without a date")).cast(df.schema[day].dataType)
+    order = [*keys, day, sample]
+    dated = df.withColumn(day, F.coalesce(F.col(day), bad))
+    ordered = dated.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    stored = cut_lineage(ordered).withColumn("_part", F.shiftright("_place", PARTITION_SHIFT))
+    parts = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_start"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_part", "_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = stored.join(checked_broadcast(starts), [*keys, "_part"])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_place") - F.col("_start")).alias(out))

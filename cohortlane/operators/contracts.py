@@ -34,12 +34,15 @@ def _finding(name: str, violations: DataFrame, count: Column, example: Column) -
 
     The examples come from a top-k, so the violating rows are never gathered.
     """
-    total = violations.agg(F.coalesce(count, F.lit(0)).cast("bigint").alias("violations"))
-    firsts = (
-        violations.select(example.cast("string").alias("e")).distinct().orderBy("e").limit(EXAMPLE_LIMIT)
-        .agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias("examples"))
+    firsts = violations.select(example.cast("string").alias("e")).distinct().orderBy("e").limit(EXAMPLE_LIMIT)
+    parts = violations.agg(count.cast("bigint").alias("n")).select("n", F.lit(None).cast("string").alias("e")).unionByName(
+        firsts.select(F.lit(None).cast("bigint").alias("n"), "e")
     )
-    return total.join(firsts).select(
+    summary = parts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"),
+        F.array_join(F.array_sort(F.collect_list("e")), ",").alias("examples"),
+    )
+    return summary.select(
         F.lit(name).alias("check_name"), "violations",
         F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"), "examples",
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlane.functions.columns import clipped_logit, count_true, ratio, sigmoid
 from cohortlane.operators.ranked import exact_quantiles, running_totals, score_table
+from cohortlane.session import cut_lineage
 from cohortlane.sized import checked_broadcast
 
 THRESHOLD_NAMES = ("youden", "sensitivity90", "specificity90")
@@ -246,67 +247,78 @@ def add_rates(cells: DataFrame) -> DataFrame:
 
 NEWTON_STEPS = 25
 PRIOR_PRECISION = 1e-6
+GROUPS_AT_ONCE = 20_000
 
 
 def logistic_fit(df: DataFrame, keys: Sequence[str], x: Column, y: str = "y", weight: str | None = None) -> DataFrame:
     """Slope and intercept of y on one predictor per group, by Newton steps on aggregated sums.
 
-    Rows are reduced to (group, x, pos, neg) once and stored. Every step is one aggregation of five
-    sums per group for all groups together; the driver solves 2x2 systems, one per group. The
-    slope has the weak ridge penalty (1e-6 of a row) of the reference setting. Groups of one class
-    give NULL. Steps are halved if they do not lower the loss.
+    Rows are reduced to (group, x, pos, neg) once and stored. Every step is one aggregation of six
+    sums per group for all groups together; the driver solves 2x2 systems, one per group. More than
+    ``GROUPS_AT_ONCE`` groups are fitted in several rounds. The slope has a weak ridge penalty.
+    Groups of one class give NULL.
     """
-    from cohortlane.session import cut_lineage
-
     keys = list(keys)
     w = F.lit(1) if weight is None else F.col(weight)
-    points = df.groupBy(*keys, x.alias("_x")).agg(
-        F.sum(F.when(F.col(y) == 1, w).otherwise(0)).cast("double").alias("_pos"),
-        F.sum(F.when(F.col(y) == 0, w).otherwise(0)).cast("double").alias("_neg"),
+    points = cut_lineage(
+        df.groupBy(*keys, x.alias("_x")).agg(
+            F.sum(F.when(F.col(y) == 1, w).otherwise(0)).cast("double").alias("_pos"),
+            F.sum(F.when(F.col(y) == 0, w).otherwise(0)).cast("double").alias("_neg"),
+        )
     )
-    points = cut_lineage(points)
     groups = points.groupBy(*keys).agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
-    schema = groups.select(*keys).schema
-    state: dict[tuple, np.ndarray] = {}
-    for row in groups.where((F.col("pos") > 0) & (F.col("neg") > 0)).toLocalIterator():
-        state[tuple(row[k] for k in keys)] = np.array([0.0, float(np.log(row["pos"] / row["neg"]))])
-    active, fitted, loss, step = dict(state), {}, {}, {}
+    rounds = -(-groups.count() // GROUPS_AT_ONCE)
+    part = F.pmod(F.xxhash64(*keys), F.lit(max(rounds, 1)))
+    fits = [_newton(points.where(part == i), groups.where(part == i), keys) for i in range(max(rounds, 1))]
+    result = fits[0]
+    for fit in fits[1:]:
+        result = result.unionByName(fit)
+    return groups.select(*keys).join(result, keys, "left")
+
+
+def _newton(points: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    spark = points.sparkSession
+    wide = lambda *names: groups.select(*keys, *[F.lit(0.0).alias(n) for n in names]).schema
+    current = {
+        tuple(r[k] for k in keys): np.array([0.0, float(np.log(r["pos"] / r["neg"]))])
+        for r in groups.where((F.col("pos") > 0) & (F.col("neg") > 0)).collect()
+    }
+    fitted: dict[tuple, np.ndarray] = {}
+    last: dict[tuple, tuple[float, np.ndarray]] = {}
     for _ in range(NEWTON_STEPS):
-        if not active:
+        if not current:
             break
-        rows = [(*k, float(b[0]), float(b[1])) for k, b in active.items()]
-        params = df.sparkSession.createDataFrame(rows, schema.add("_b", "double").add("_a", "double"))
-        schema = groups.select(*keys).schema
+        rows = [(*k, float(b[0]), float(b[1])) for k, b in current.items()]
+        parameters = spark.createDataFrame(rows, wide("_b", "_a"))
         eta = F.col("_b") * F.col("_x") + F.col("_a")
         mu, n = sigmoid(eta), F.col("_pos") + F.col("_neg")
         residual, curvature = n * mu - F.col("_pos"), n * mu * (1 - mu)
         softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-        sums = points.join(F.broadcast(params), keys).groupBy(*keys).agg(
+        sums = points.join(F.broadcast(parameters), keys).groupBy(*keys).agg(
             F.sum(residual * F.col("_x")).alias("g1"), F.sum(residual).alias("g0"),
             F.sum(curvature * F.col("_x") * F.col("_x")).alias("h11"), F.sum(curvature * F.col("_x")).alias("h10"),
             F.sum(curvature).alias("h00"), F.sum(n * softplus - F.col("_pos") * eta).alias("loss"),
         )
-        for row in sums.collect():
-            key = tuple(row[k] for k in keys)
-            b = active[key]
-            value = row["loss"] + 0.5 * PRIOR_PRECISION * b[0] ** 2
-            if key in loss and value > loss[key] + 1e-12 * abs(loss[key]) and np.abs(step[key]).max() > 1e-12:
-                step[key] = step[key] / 2
-                active[key] = b + step[key]
-                continue
-            hessian = np.array([[row["h11"] + PRIOR_PRECISION, row["h10"]], [row["h10"], row["h00"]]])
-            gradient = np.array([row["g1"] + PRIOR_PRECISION * b[0], row["g0"]])
-            delta = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
-            loss[key], step[key] = value, delta
-            active[key] = b - delta
-            step[key] = delta
-            if np.abs(delta).max() < 1e-10:
-                fitted[key] = active.pop(key)
-    fitted.update(active)
-    result = df.sparkSession.createDataFrame(
-        [(*k, float(b[0]), float(b[1])) for k, b in fitted.items()], schema.add("slope", "double").add("intercept", "double")
-    )
-    return groups.select(*keys).join(result, keys, "left")
+        for r in sums.collect():
+            key = tuple(r[k] for k in keys)
+            b = current[key]
+            loss = r["loss"] + 0.5 * PRIOR_PRECISION * b[0] ** 2
+            if key in last:
+                before, step = last[key]
+                if loss > before + 1e-12 * abs(before) and np.abs(step).max() > 1e-12:
+                    # The step went too far: go back half of it.
+                    last[key] = (before, step / 2)
+                    current[key] = b + step / 2
+                    continue
+            hessian = np.array([[r["h11"] + PRIOR_PRECISION, r["h10"]], [r["h10"], r["h00"]]])
+            step = np.linalg.lstsq(hessian, np.array([r["g1"] + PRIOR_PRECISION * b[0], r["g0"]]), rcond=None)[0]
+            last[key] = (loss, step)
+            current[key] = b - step
+            if np.abs(step).max() < 1e-10:
+                fitted[key] = current.pop(key)
+    fitted.update(current)
+    rows = [(*k, float(b[0]), float(b[1])) for k, b in fitted.items()]
+    return spark.createDataFrame(rows, wide("slope", "intercept"))
 
 
 def calibration_line(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:

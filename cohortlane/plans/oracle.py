@@ -645,3 +645,32 @@ ORACLES["pattern_audit_texts"] = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{src}' AS source, {key} AS row_id, '{n}' AS pattern, len(regexp_extract_all({text}, '{rx}'))::BIGINT AS match_n FROM {src}"
     for src, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html")) for n, rx in _RX.items()
 ) + ") WHERE match_n > 0"
+
+
+def newton(source: str, keys: str, x: str, steps: int = 12) -> str:
+    """CTEs ending in fit(keys, slope, intercept): Newton steps of a logistic line, written out one by one."""
+    on = " AND ".join(f"p.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
+    cols = ", ".join("q." + k.strip() for k in keys.split(","))
+    ctes = [
+        f"pt AS (SELECT {keys}, {x} AS x, count_if(y = 1)::DOUBLE AS pos, count_if(y = 0)::DOUBLE AS neg FROM {source} GROUP BY ALL)",
+        f"fit0 AS (SELECT {keys}, 0::DOUBLE AS b, ln(sum(pos) / sum(neg)) AS a FROM pt GROUP BY {keys})",
+    ]
+    for i in range(steps):
+        ctes.append(
+            f"sum{i} AS (SELECT {cols}, any_value(b) AS b, any_value(a) AS a, sum(((pos + neg) * m - pos) * x) + 1e-6 * any_value(b) AS g1, sum((pos + neg) * m - pos) AS g0, "
+            f"sum((pos + neg) * m * (1 - m) * x * x) + 1e-6 AS h11, sum((pos + neg) * m * (1 - m) * x) AS h10, sum((pos + neg) * m * (1 - m)) AS h00 "
+            f"FROM (SELECT {cols}, q.b, q.a, x, pos, neg, 1 / (1 + exp(-(q.b * x + q.a))) AS m FROM pt p JOIN fit{i} q ON {on}) q GROUP BY {cols})"
+        )
+        ctes.append(
+            f"fit{i + 1} AS (SELECT {keys}, b - (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS b, a - (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS a FROM sum{i})"
+        )
+    return ", ".join(ctes) + f", fit AS (SELECT {keys}, b AS slope, a AS intercept FROM fit{steps})"
+
+
+_LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, raw)) / (1 - greatest(1e-6, least(1 - 1e-6, raw))))"
+ORACLES["calibration_slope"] = f"{BASE}, {newton('v_sample', 'task, site_id', _LOGIT)} SELECT task, site_id, {rnd('slope, intercept')} FROM fit"
+ORACLES["platt_calibration"] = f"""{BASE}, {newton('v_dev', 'task', _LOGIT)},
+g AS (SELECT *, slope > 0 AS ok FROM fit), s AS (SELECT t.task, CASE WHEN ok THEN 1 / (1 + exp(-(slope * {_LOGIT} + intercept))) END AS c FROM v_test t JOIN g ON t.task = g.task)
+SELECT s.task, count(*) AS n, count(c) AS calibrated_n, round(avg(c) + 1.3e-9, 6) AS mean_probability, round(any_value(slope) + 1.3e-9, 6) AS platt_slope,
+  round(any_value(intercept) + 1.3e-9, 6) AS platt_intercept, CASE WHEN any_value(ok) THEN 'ok' ELSE 'failed' END AS calibration_status,
+  CASE WHEN any_value(ok) THEN '' ELSE 'nonpositive_platt_slope' END AS calibration_failure_reason FROM s JOIN g ON s.task = g.task GROUP BY s.task"""

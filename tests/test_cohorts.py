@@ -157,7 +157,7 @@ def test_ordinal_with_one_hot_day(spark):
     rows = [("t", i * 7, date(2020, 1, 1) if i % 3 else date(2020, 1, 2 + i % 20)) for i in range(3000)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "task string, sample_id long, d date")
-    got = {r.sample_id: r.row_order for r in row_ordinal(df, ["task"], "d", "sample_id", parts=16).collect()}
+    got = {r.sample_id: r.row_order for r in row_ordinal(df, ["task"], "d", "sample_id").collect()}
     want = {s: i for i, (_, s, _) in enumerate(sorted(rows, key=lambda r: (r[2], r[1])))}
     assert got == want
 
