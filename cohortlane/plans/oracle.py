@@ -137,7 +137,7 @@ _frames = [
 ORACLES["support_funnel"] = f"WITH {V_AST} " + " UNION ALL ".join(
     f"""SELECT {k}::INT AS step_order, '{name}' AS step, '{text}' AS description, {limit}::INT AS threshold_value, '{unit}' AS threshold_unit,
     {'NULL::BIGINT' if k == 1 else 'count(DISTINCT combination_id)'} AS combination_n, count(*) AS label_rows, count(DISTINCT sample_id) AS unique_sample_n,
-    count_if(y = 1)::BIGINT AS positive_n, count_if(y = 0)::BIGINT AS negative_n FROM ({frame})"""
+    coalesce(count_if(y = 1), 0)::BIGINT AS positive_n, coalesce(count_if(y = 0), 0)::BIGINT AS negative_n FROM ({frame})"""
     for (k, name, text, limit, unit), frame in zip(_STEPS, _frames, strict=True)
 )
 ORACLES["panel_mapping"] = f"""WITH {V_AST}, panel AS (SELECT * FROM (VALUES {_panel}) AS t(task_id, organism, antimicrobial, category, needed)),

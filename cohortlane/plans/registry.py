@@ -394,7 +394,7 @@ def dense_peaks(spark, sf):
 def dense_variants(spark, sf):
     """All extraction variants in one pass and their agreement with the default extraction."""
     points = V.profiles(spark, sf)
-    bins = S.profile_presence(points, S.PROFILE_VARIANTS)
+    bins = cut_lineage(S.profile_presence(points, S.PROFILE_VARIANTS))  # the extraction feeds both sides below
     default = bins.where(F.col("variant") == "public_rebuild_default").drop("variant")
     names = F.explode(F.array(*[F.lit(n) for n in S.PROFILE_VARIANTS]))
     rows = points.select("spectrum_id").distinct().select(names.alias("variant"), "spectrum_id")

@@ -44,7 +44,7 @@ def same_kind(a, b) -> bool:
 def differences(spark, con, name: str, query, sql: str, folder: str) -> str:
     """Empty text if the results agree, else what differs."""
     got_names, got = canonical(query(spark, folder).toArrow())
-    want_names, want = canonical(con.execute(sql).to_arrow_table())
+    want_names, want = canonical(con.sql(sql).to_arrow_table())
     if got_names != want_names:
         return f"columns: only here {sorted(set(got_names) - set(want_names))}, only SQL {sorted(set(want_names) - set(got_names))}"
     if len(got) != len(want):
