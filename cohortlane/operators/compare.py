@@ -79,9 +79,13 @@ def tuning_summary(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def best_candidate(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Highest objective, then AUROC, then AUPRC, then the lowest index."""
+    """Highest objective, then AUROC, then AUPRC, then the lowest index.
+
+    Values are compared to 12 digits, so that the order of additions cannot decide between equals.
+    """
     rest = F.struct(*[F.col(c) for c in summary.columns if c not in keys])
-    order = F.struct("objective", "median_auroc", "median_auprc", (-F.col("candidate_index")).alias("i"))
+    values = [F.round(c, 12).alias(c) for c in ("objective", "median_auroc", "median_auprc")]
+    order = F.struct(*values, (-F.col("candidate_index")).alias("i"))
     return summary.groupBy(*keys).agg(F.max_by(rest, order).alias("_b")).select(*keys, "_b.*")
 
 

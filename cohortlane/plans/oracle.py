@@ -546,7 +546,7 @@ SELECT task, cell, n_test, positive_n, negative_n, {rnd('raw_auroc, raw_auroc_ci
 ORACLES["tuning_selection"] = f"""{BASE}, c AS (SELECT task, year AS fold_index, y, unnest([0, 1, 2, 3]) AS candidate_index, unnest([raw, alt, calibrated, raw * alt]) AS score FROM v_sample),
 {totals('c', 'task, candidate_index, fold_index', 'score')}, {metrics('task, candidate_index, fold_index')},
 s AS (SELECT task, candidate_index, count(DISTINCT fold_index) AS folds, median(auroc) AS median_auroc, median(auprc) AS median_auprc FROM met GROUP BY ALL),
-b AS (SELECT *, median_auroc + 0.05::DOUBLE * median_auprc AS objective FROM s QUALIFY row_number() OVER (PARTITION BY task ORDER BY median_auroc + 0.05::DOUBLE * median_auprc DESC, median_auroc DESC, median_auprc DESC, candidate_index) = 1)
+b AS (SELECT *, median_auroc + 0.05::DOUBLE * median_auprc AS objective FROM s QUALIFY row_number() OVER (PARTITION BY task ORDER BY round(median_auroc + 0.05::DOUBLE * median_auprc, 12) DESC, round(median_auroc, 12) DESC, round(median_auprc, 12) DESC, candidate_index) = 1)
 SELECT task, candidate_index::BIGINT AS candidate_index, folds, {rnd('median_auroc, median_auprc, objective')} FROM b"""
 _REG = ("current_workflow_only", "pre_marker_only", "pooled_era_balanced")
 _CMP = ((_REG[2], _REG[0]), (_REG[1], _REG[0]), (_REG[2], _REG[1]))
