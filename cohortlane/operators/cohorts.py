@@ -265,7 +265,8 @@ def purge_audit(marked: DataFrame, keys: Sequence[str], minimum_total: int = 100
 def keep_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, last: bool = False) -> DataFrame:
     """The first (or last) row per key in a total order.
 
-    Done as an aggregation instead of a window: rows of a hot key combine before the shuffle.
+    Done as an aggregation instead of a window: rows of a hot key combine before the shuffle. The
+    whole row is the aggregated value, so select the wanted columns before the call.
     """
     rest = F.struct(*[F.col(c) for c in df.columns])
     pick = (F.max_by if last else F.min_by)(rest, F.struct(*[F.col(c) for c in order]))
@@ -345,7 +346,8 @@ def month_fold_audit(df: DataFrame, *, task: str = "task", sample: str = "sample
     and only one small row per month reaches the fold construction.
     """
     total = lambda items, f: F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, m: acc + m[f])
-    per_month = class_counts(latest_rows(df, task, sample, day).withColumn("month", F.trunc(day, "MM")), [task, "month"])
+    needed = df.select(task, sample, day, "y")
+    per_month = class_counts(latest_rows(needed, task, sample, day).withColumn("month", F.trunc(day, "MM")), [task, "month"])
     months = per_month.groupBy(task).agg(
         F.array_sort(F.collect_list(F.struct("month", "n", "positive_n", "negative_n"))).alias("months")
     )

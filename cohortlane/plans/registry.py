@@ -22,6 +22,7 @@ from cohortlane.operators import sampling as Z
 from cohortlane.plans import views as V
 from cohortlane.plans.audit import collapsed_with_features, label_audit
 from cohortlane.session import cut_lineage
+from cohortlane.sized import spread
 from cohortlane.sources.artifacts import artifact_manifest, pattern_audit, verify_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,23 +189,24 @@ def disjoint_test(spark, sf):
 
 @query
 def first_per_cluster(spark, sf):
-    return C.first_per_cluster(V.development(V.samples(spark, sf)), ["d", "sample_id"]).select("cluster_id", "sample_id", "d", "task", "y")
+    rows = V.development(V.samples(spark, sf)).select("cluster_id", "sample_id", "d", "task", "y")
+    return C.first_per_cluster(rows, ["d", "sample_id"])
 
 
 @query
 def latest_per_cluster(spark, sf):
-    base = V.samples(spark, sf).where(X.usable("cluster_id"))
-    return C.keep_extreme(base, ["task", "cluster_id"], ["d", "sample_id"], last=True).select("task", "cluster_id", "sample_id", "d")
+    base = V.samples(spark, sf).where(X.usable("cluster_id")).select("task", "cluster_id", "sample_id", "d")
+    return C.keep_extreme(base, ["task", "cluster_id"], ["d", "sample_id"], last=True)
 
 
 def month_folds_of(spark: SparkSession, sf: str) -> DataFrame:
-    return C.month_fold_rows(V.development(V.samples(spark, sf)))
+    return C.month_fold_rows(V.development(V.samples(spark, sf)).select("task", "sample_id", "cluster_id", "d", "y"))
 
 
 @query
 def first_per_cluster_protocol(spark, sf):
     """One record per cluster in every monthly fold and in the development/test pair (fold -1)."""
-    base = V.samples(spark, sf)
+    base = V.samples(spark, sf).select("task", "sample_id", "cluster_id", "d", "y")
     folds = month_folds_of(spark, sf).select("task", "fold_index", "split", "sample_id", "cluster_id", "d", "y")
     whole = V.development(base).withColumn("split", F.lit("train")).unionByName(V.test_rows(base).withColumn("split", F.lit("validation")))
     rows = folds.unionByName(whole.withColumn("fold_index", F.lit(-1)).select(*folds.columns))
@@ -244,7 +246,7 @@ def year_fold_rows(spark, sf):
 @query
 def history_folds(spark, sf):
     """Folds of the current era from a fold table, without and with the earlier era in training."""
-    base = V.samples(spark, sf)
+    base = V.samples(spark, sf).select("task", "sample_id", "cluster_id", "d", "y")
     current = base.where(F.col("d").between(F.lit(V.DATES.current_start), F.lit(V.DATES.current_end)))
     pre = base.where(F.col("d") < F.lit(V.DATES.transition_start))
     table = C.month_fold_rows(current).select("task", "fold_index", "sample_id", "split")
@@ -691,10 +693,10 @@ TEXT_PATTERNS = {
 
 @query
 def pattern_audit_texts(spark, sf):
-    documents = pattern_audit(V.table(spark, sf, "documents"), "doc_id", "text", TEXT_PATTERNS).select(
+    documents = pattern_audit(spread(V.table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", TEXT_PATTERNS).select(
         F.lit("documents").alias("source"), F.col("doc_id").alias("row_id"), "pattern", "match_n"
     )
-    pages = pattern_audit(V.table(spark, sf, "pages"), "page_id", "html", TEXT_PATTERNS).select(
+    pages = pattern_audit(spread(V.table(spark, sf, "pages").select("page_id", "html")), "page_id", "html", TEXT_PATTERNS).select(
         F.lit("pages").alias("source"), F.col("page_id").alias("row_id"), "pattern", "match_n"
     )
     return documents.unionByName(pages)
