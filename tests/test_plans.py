@@ -29,6 +29,7 @@ def test_no_cross_product_and_no_unbounded_window(spark, name):
 def test_date_filter_and_columns_reach_the_scan(spark):
     plan = plan_of(entry.queries()["first_per_cluster"](spark, FOLDER))
     assert "o_orderpriority" in plan and "o_totalprice" not in plan.split("ReadSchema")[1].split(">")[0]
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
     inventory = plan_of(entry.queries()["combination_inventory"](spark, FOLDER))
     assert "l_quantity" not in inventory and "p_name" not in inventory
 
