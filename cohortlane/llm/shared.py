@@ -156,9 +156,11 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over undirected ``edges`` (a, b), for every id in an edge.
 
+    With ``rounds`` it stops after so many; equal labels are then connected, but not all connected ids have equal labels.
+
     Each round takes the least label among the neighbours and then the label's own label, so paths
     halve; rounds end when nothing changes. All steps are aggregations and joins with map-side combining, and
     each round's labels are a stored table. Only a count of changes reaches the driver. A null end joins nothing.
@@ -166,7 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
     both = stored(edges.union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).select(F.col("a").alias("id"), "component"))
+    done = 0
     while True:
+        done += 1
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         lower = stored(
             labels.join(near.withColumnRenamed("a", "id"), "id", "left")
@@ -177,6 +181,6 @@ def components(edges: DataFrame) -> DataFrame:
             lower.join(jump, "component", "left")
             .select("id", F.coalesce("further", "component").alias("component"), "was")
         )
-        if following.filter("component <> was").isEmpty():
+        if done == rounds or following.filter("component <> was").isEmpty():
             return following.select("id", "component")
         labels = following.select("id", "component")
