@@ -2,4 +2,67 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_OP1 = r"""
+with recursive
+words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from words
+),
+shingles as (select doc_id, unnest(s) as g from sets),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n from shingles x join shingles y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2
+),
+links as (
+  select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+),
+both_ways as (select a, b from links union select b, a from links),
+reached as (select a, b from both_ways union select r.a, l.b from reached r join both_ways l on r.b = l.a),
+least_of as (select a, min(b) as low from reached group by 1)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id,
+       case when len(s) = 0 then doc_id else min(doc_id) over (partition by list_sort(s)) end as class_id
+from sets left join least_of on a = doc_id
+"""
+
+_OP2 = r"""
+with
+pages_read as (
+  select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', '') as host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) as path,
+         cast('0x' || substr(md5(coalesce(url, '')), 1, 6) as bigint) % 365 as day
+  from pages
+),
+hosts as (select distinct host, cast('0x' || substr(md5(host), 1, 6) as bigint) as m from pages_read where host <> ''),
+domains as (
+  select distinct d as key, cast('0x' || substr(md5(d), 1, 6) as bigint) as m
+  from (select array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:3]), '.') as d from hosts)
+),
+entries as (
+  select 'spam' as list_name, 'block' as effect, 'domain' as kind, key, 'add' as action, m % 200 as since from domains where m % 3 = 0
+  union all select 'spam', 'block', 'domain', key, 'remove', m % 200 + 40 + m % 97 from domains where m % 6 = 0
+  union all select 'spam', 'block', 'domain', key, 'add', m % 200 + 160 + m % 97 from domains where m % 12 = 0
+  union all select 'partners', 'allow', 'host', host, 'add', m % 300 from hosts where m % 7 = 0
+  union all select 'folders', 'block', 'prefix', host || '/en', 'add', m % 365 from hosts where m % 5 = 0
+),
+dated as (
+  select *, lead(since) over (partition by list_name, effect, kind, key order by since) as stop from entries
+),
+hits as (
+  select p.page_id, p.url, d.effect, d.list_name from pages_read p join dated d
+    on d.action = 'add' and d.since <= p.day and (d.stop is null or p.day < d.stop) and p.host <> ''
+   and ((d.kind = 'domain' and (p.host = d.key or ends_with(p.host, '.' || d.key))) or (d.kind = 'host' and p.host = d.key)
+        or (d.kind = 'prefix' and (p.host || p.path = d.key or starts_with(p.host || p.path, d.key || '/'))))
+),
+found as (
+  select page_id, url, count(*) filter (effect = 'block') as n_block, count(*) filter (effect = 'allow') as n_allow, string_agg(distinct list_name, ',' order by list_name) as lists
+  from hits group by 1, 2
+)
+select p.page_id, p.url, p.day, coalesce(n_block, 0) as n_block, coalesce(n_allow, 0) as n_allow, coalesce(lists, '') as lists,
+       case when n_allow > 0 then 'allow' when n_block > 0 then 'block' else 'none' end as verdict
+from pages_read p left join found f on f.page_id = p.page_id and f.url is not distinct from p.url
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_url_filters": _OP2}

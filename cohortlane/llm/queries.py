@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_content, language_id, ngram_join, packing, pii, quality_model, quality_rules
+from . import fingerprints, html_content, language_id, ngram_join, packing, pieces, pii, quality_model, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, n_links of all documents."""
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+    """doc_id, n_shingles, component_id, class_id of all documents."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def _days(days) -> F.Column:
+    """The start of the day so many days into 2024."""
+    return F.timestamp_seconds(F.lit(1_704_067_200) + 86_400 * days)
+
+
+def _number(text) -> F.Column:
+    """A number below 2^24 from the digest of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries drawn from the hosts of the pages: domains blocked for a time, hosts allowed, language folders blocked."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    domains = hosts.select(F.substring_index("host", ".", -3).alias("key")).distinct().withColumn("m", _number(F.col("key")))
+    hosts = hosts.withColumn("m", _number(F.col("host")))
+    columns = ["list_name", "effect", "kind", "key", "action", "at"]
+
+    def rows(of: DataFrame, list_name: str, effect: str, kind: str, key, action: str, at) -> DataFrame:
+        return of.select(F.lit(list_name), F.lit(effect), F.lit(kind), key, F.lit(action), at).toDF(*columns)
+
+    m, listed = F.col("m"), domains.filter("m % 3 = 0")
+    parts = [
+        rows(listed, "spam", "block", "domain", F.col("key"), "add", _days(m % 200)),
+        rows(listed.filter("m % 2 = 0"), "spam", "block", "domain", F.col("key"), "remove", _days(m % 200 + 40 + m % 97)),
+        rows(listed.filter("m % 4 = 0"), "spam", "block", "domain", F.col("key"), "add", _days(m % 200 + 160 + m % 97)),
+        rows(hosts.filter("m % 7 = 0"), "partners", "allow", "host", F.col("host"), "add", _days(m % 300)),
+        rows(hosts.filter("m % 5 = 0"), "folders", "block", "prefix", F.concat("host", F.lit("/en")), "add", _days(m % 365)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures of a day that their URL's digest gives, against dated lists drawn from their hosts."""
+    pages = _table(spark, sf_dir, "pages")
+    fetched = _number(F.coalesce("url", F.lit(""))) % 365
+    captures = pages.select("page_id", "url", fetched.alias("day"), (F.timestamp_seconds(F.lit(1_704_067_200 + 43_200) + 86_400 * fetched)).alias("fetched"))
+    return url_filters.judge(captures, _list_entries(pages)).select("page_id", "url", "day", "n_block", "n_allow", "lists", "verdict")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-score pieces of all documents and whether decoding gives the text again."""
+    import public_tokenizers
+
+    return pieces.round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +108,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_url_filters": op2_url_filters,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
     "op5_html_extraction": op5_html_extraction,
     "op6_quality_rules": op6_quality_rules,
