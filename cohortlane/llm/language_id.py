@@ -102,7 +102,8 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tu
     begin = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * width
     at = begin[:, None] + np.arange(width)
     inside = at < offsets[1:][owner][:, None]
-    return np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 256).astype(np.int16), owner
+    wide = np.append(data, 0).astype(np.int16)
+    return np.where(inside, wide[np.minimum(at, len(data))], np.int16(256)), owner
 
 
 def document_probabilities(model: ByteNetwork, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
