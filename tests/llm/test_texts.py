@@ -194,7 +194,7 @@ def test_terms_that_reveal_an_entity(spark):
         if k < 12:  # the name stands only near this address, in different contexts; each other word stands anywhere
             text += f" {draw.choice(filler)} {draw.choice(filler)} Quentin, kq@mail.example {draw.choice(filler)}" + "\nthen Quentin left" * (k == 3)
         elif k < 30:  # copies of one passage are one context
-            text += " copied Wendell, ww@mail.example here"
+            text += "\ncopied Wendell, ww@mail.example here"
         rows.append((k, text))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.report(docs).collect()}
