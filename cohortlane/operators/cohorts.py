@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlane.functions.columns import count_true, ratio, usable
-from cohortlane.operators.contracts import require_columns
+from cohortlane.operators.contracts import all_checks, require_columns, rows_where
 from cohortlane.sized import checked_broadcast
 
 DAY = timedelta(days=1)
@@ -48,6 +48,10 @@ class ProtocolDates:
     test_start: date = date(2026, 3, 1)
     test_end: date = date(2026, 6, 9)
 
+    def __post_init__(self) -> None:
+        if not self.transition_start <= self.transition_end < self.current_start <= self.current_end < self.test_start <= self.test_end:
+            raise ValueError(f"protocol dates are not in order: {self}")
+
     def protocols(self) -> list[TimeWindow]:
         hole = (self.transition_start, self.transition_end)
         return [
@@ -71,19 +75,33 @@ class ProtocolDates:
 
 
 def assign_windows(df: DataFrame, windows: Sequence[TimeWindow], day: str = "d") -> DataFrame:
-    """Add ``cohort`` and ``role``; a row appears once per window that covers its date.
+    """Add ``cohort`` and ``role``; a row appears once per cohort and role with a window that covers its date.
 
     The windows are a fixed list, so membership is computed within the row: no join, no shuffle.
     """
-    hits = F.array_compact(
+    hits = F.array_distinct(F.array_compact(
         F.array(*[
             F.when(w.covers(F.col(day)), F.struct(F.lit(w.cohort).alias("cohort"), F.lit(w.role).alias("role")))
             for w in windows
         ])
-    )
+    ))
     return df.withColumn("_w", F.explode(hits)).select(*df.columns, "_w.cohort", "_w.role")
 
 
+def windows_disjoint(df: DataFrame, windows: Sequence[TimeWindow], day: str = "d", sample: str = "sample_id") -> DataFrame:
+    """One check per cohort: rows that its development and its test both cover."""
+    checks = []
+    for cohort in dict.fromkeys(w.cohort for w in windows):
+        sides = []
+        for role in ("development", "test"):
+            inside = F.lit(False)
+            for w in windows:
+                inside = inside | w.covers(F.col(day)) if (w.cohort, w.role) == (cohort, role) else inside
+            sides.append(inside)
+        checks.append(rows_where(df.where(F.col(day).isNotNull()), sides[0] & sides[1], sample, f"disjoint:{cohort}"))
+    return all_checks(checks)
+
+
 def filter_dates(df: DataFrame, start: date, end: date, day: str = "d") -> DataFrame:
     """Rows with a date in the window, both ends included."""
     if start > end:
@@ -92,17 +110,23 @@ def filter_dates(df: DataFrame, start: date, end: date, day: str = "d") -> DataF
 
 
 def normalize_dates(df: DataFrame, *, sample: str = "sample_id", cluster: str = "cluster_id") -> DataFrame:
-    """One date per sample from the first present date column; text that is no date fails the job."""
+    """One date per sample from the first present date column.
+
+    Text that is no date, a missing sample id and an id on several rows fail the job.
+    """
     source = next((c for c in ("collection_date", "accept_datetime") if c in df.columns), None)
     if source is None:
         raise ValueError("date table needs collection_date or accept_datetime")
     require_columns(df, (sample,), "date table")
     parsed = F.to_date(F.try_to_timestamp(F.col(source).cast("string")))
     bad = F.raise_error(F.concat(F.lit(f"unparseable or missing {source}: "), F.coalesce(F.col(source).cast("string"), F.lit("NULL"))))
-    columns = [F.col(sample).cast("string").alias(sample), F.coalesce(parsed, bad.cast("date")).alias("target_date")]
+    value = [F.coalesce(parsed, bad.cast("date")).alias("target_date")]
     if cluster in df.columns:
-        columns.append(F.trim(F.col(cluster).cast("string")).alias(cluster))
-    return df.select(*columns)
+        value.append(F.trim(F.col(cluster).cast("string")).alias(cluster))
+    once = df.groupBy(F.trim(F.col(sample).cast("string")).alias(sample)).agg(F.first(F.struct(*value)).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    wrong = F.raise_error(F.concat(F.lit("missing or repeated sample in the date table: "), F.coalesce(sample, F.lit("NULL")))).cast("string")
+    key = F.when((F.col("_n") == 1) & usable(sample), F.col(sample)).otherwise(wrong)
+    return once.select(key.alias(sample), "_v.*")
 
 
 def attach_dates(df: DataFrame, dates: DataFrame, *, sample: str = "sample_id") -> DataFrame:
@@ -514,14 +538,19 @@ def attach_groups(
 ) -> DataFrame:
     """Left attach of group columns; a group row applies to its own task or, without a task, to all.
 
-    A sample with both a task row and a global row has no unique group and fails the job.
+    A sample with several rows for a task, or with a task row and a global row, has no unique group and fails the job.
     """
     if groups is None:
         return df.select("*", *[F.lit(None).cast("string").alias(f) for f in fields])
-    own = groups.where(usable(task)).select(
-        F.col(sample).alias("_s1"), F.col(task).alias("_t1"), F.struct(*fields).alias("_own")
-    )
-    shared = groups.where(~usable(task)).select(F.col(sample).alias("_s2"), F.struct(*fields).alias("_shared"))
+
+    def single(rows: DataFrame, names: dict[str, str], out: str) -> DataFrame:
+        found = rows.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.first(F.struct(*fields)).alias("_v"), F.count(F.lit(1)).alias("_n"))
+        repeated = F.raise_error(F.concat(F.lit("repeated grouping rows for sample "), F.col(names[sample]).cast("string")))
+        return found.select(*names.values(), F.when(F.col("_n") == 1, F.col("_v")).otherwise(repeated.cast(found.schema["_v"].dataType)).alias(out))
+
+    groups = groups.where(F.col(sample).isNotNull())
+    own = single(groups.where(usable(task)), {sample: "_s1", task: "_t1"}, "_own")
+    shared = single(groups.where(~usable(task)), {sample: "_s2"}, "_shared")
     joined = df.join(own, (F.col(sample) == F.col("_s1")) & (F.col(task) == F.col("_t1")), "left").join(
         shared, F.col(sample) == F.col("_s2"), "left"
     )

@@ -91,9 +91,6 @@ def best_candidate(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- digests -----------------------------------------------------------------------------------
 
-FLAT_DIGEST_ROWS = 10_000
-
-
 def row_text(columns: Sequence[str], separator: str = "\t") -> Column:
     return F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]), separator)
 
@@ -114,19 +111,18 @@ def tree_digest(df: DataFrame, keys: Sequence[str], payload: Column) -> DataFram
     return middle.groupBy(*keys).agg(node(F.concat("_p2", "_d")).alias("tree_sha256"), F.sum("_n").alias("n"))
 
 
-def membership_digest(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], *, separator: str = "\t",
-    flat_rows: int = FLAT_DIGEST_ROWS,
-) -> DataFrame:
-    """Digest per group: ``tree_sha256`` always, and for groups of at most ``flat_rows`` rows also
-    ``flat_sha256``, the SHA-256 of the ordered row texts joined by line breaks."""
-    keys = list(keys)
-    tree = tree_digest(df, keys, row_text(columns, separator))
-    small = checked_broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= flat_rows).select(*keys))
-    items = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], row_text(columns, separator).alias("text"))
-    lines = F.transform(F.array_sort(F.collect_list(items)), lambda s: s["text"])
-    flat = df.join(small, keys, "left_semi").groupBy(*keys).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("flat_sha256"))
-    return tree.join(flat, keys, "left")
+def membership_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], day: str, sample: str, *, separator: str = "\t") -> DataFrame:
+    """Digest of the rows of each group in the order of (day, sample id), for groups of any size.
+
+    A row's text begins with its position, so equal digests mean equal rows in equal order.
+    """
+    placed = row_ordinal(df, keys, day, sample, "_place")
+    return tree_digest(placed, keys, row_text(["_place", *columns], separator))
+
+
+def fold_digest(folds: DataFrame, keys: Sequence[str], sample: str = "sample_id") -> DataFrame:
+    """Digest of the (fold, split, sample) membership of each group; the order of the rows does not count."""
+    return tree_digest(folds, keys, row_text(["fold_index", "split", sample]))
 
 
 # --- ordinals ----------------------------------------------------------------------------------

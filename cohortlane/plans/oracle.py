@@ -28,15 +28,15 @@ BASE = f"WITH {V_SAMPLE}, {V_DEV}, {V_TEST}"
 WINDOWS = """
 windows AS (
   SELECT * FROM (VALUES
-    ('A_pre_marker_to_post_marker', 'development', DATE '1900-01-01', DATE '1999-12-31'),
-    ('A_pre_marker_to_post_marker', 'test', DATE '1997-01-01', DATE '2001-08-01'),
-    ('B_post_marker_current_temporal', 'development', DATE '1997-01-01', DATE '1999-12-31'),
+    ('A_pre_marker_to_post_marker', 'development', DATE '1900-01-01', DATE '1997-12-31'),
+    ('A_pre_marker_to_post_marker', 'test', DATE '1998-02-01', DATE '2001-08-01'),
+    ('B_post_marker_current_temporal', 'development', DATE '1998-02-01', DATE '1999-12-31'),
     ('B_post_marker_current_temporal', 'test', DATE '2000-02-01', DATE '2001-08-01'),
     ('C_pooled_history_temporal', 'development', DATE '1900-01-01', DATE '2000-01-31'),
     ('C_pooled_history_temporal', 'test', DATE '2000-02-01', DATE '2001-08-01')) AS t(cohort, role, lo, hi)
 ), v_cohort AS (
   SELECT w.cohort, w.role, s.* FROM v_sample s JOIN windows w ON s.d BETWEEN w.lo AND w.hi
-  WHERE NOT (w.cohort LIKE 'C_%' AND w.role = 'development' AND s.d BETWEEN DATE '2000-01-01' AND DATE '2000-01-31')
+  WHERE NOT (w.cohort LIKE 'C_%' AND w.role = 'development' AND s.d BETWEEN DATE '1998-01-01' AND DATE '1998-01-31')
 )"""
 
 
@@ -116,15 +116,15 @@ FROM v_scoped"""
 ORACLES["collapsed_labels"] = f"WITH {V_AST} SELECT * FROM v_collapsed"
 ORACLES["combination_inventory"] = f"WITH {V_AST} SELECT * REPLACE (round(positive_rate + 1.3e-9, 6) AS positive_rate) FROM v_inventory"
 _STEPS = [
-    (1, "scoped_linked_ast_rows", "All de-identified linked AST rows in the requested site/year scope.", "NULL", ""),
-    (2, "complete_exact_identity", "Rows with nonblank exact organism identity and antimicrobial code or name.", "NULL", ""),
-    (3, "unique_sample_combination", "One row per site, sample and exact organism-antimicrobial identity.", "NULL", ""),
-    (4, "conflict_free", "Sample-combination rows without source, category or year conflicts.", "NULL", ""),
-    (5, "binary_s_vs_ir_available", "Conflict-free rows with S, I or R and S versus I/R label available.", "NULL", ""),
-    (6, "feature_linked", "Label rows whose public sample ID has an available feature row.", "NULL", ""),
-    (7, "minimum_year_support", "Feature-linked combinations meeting the configured year-count threshold.", "2", "years"),
-    (8, "minimum_total_support", "Year-supported combinations meeting the configured total-label threshold.", "300", "sample_combination_labels"),
-    (9, "minimum_class_support", "Total-supported combinations meeting the configured minimum-class threshold.", "50", "minimum_binary_class"),
+    (1, "scoped_linked_ast_rows", "Label rows of the chosen sites and years.", "NULL", ""),
+    (2, "complete_exact_identity", "Rows that name an organism and a drug exactly.", "NULL", ""),
+    (3, "unique_sample_combination", "Each sample and exact pair counted once.", "NULL", ""),
+    (4, "conflict_free", "Pairs whose sources, categories and years agree.", "NULL", ""),
+    (5, "binary_s_vs_ir_available", "Agreeing pairs with a category that has a binary value.", "NULL", ""),
+    (6, "feature_linked", "Pairs whose sample has features.", "NULL", ""),
+    (7, "minimum_year_support", "Combinations with enough years.", "2", "years"),
+    (8, "minimum_total_support", "Of these, combinations with enough labels.", "300", "sample_combination_labels"),
+    (9, "minimum_class_support", "Of these, combinations with enough labels of either class.", "50", "minimum_binary_class"),
 ]
 _linked = "SELECT * FROM v_collapsed WHERE NOT conflict AND feature_available AND combination_id IN (SELECT combination_id FROM v_inventory WHERE {})"
 _frames = [
@@ -177,10 +177,10 @@ ORACLES["canonical_parameters"] = """SELECT s_suppkey, concat('{"C":', s_nationk
 
 ORACLES["protocol_cohorts"] = f"{BASE}, {WINDOWS} SELECT cohort, role, task, sample_id, d, y FROM v_cohort"
 ORACLES["regime_cohorts"] = f"""{BASE}
-SELECT 'pre_marker_history_only' AS cohort, 'development' AS role, task, sample_id, d, y FROM v_sample WHERE d <= DATE '1999-12-31'
-UNION ALL SELECT 'current_workflow_only', 'development', task, sample_id, d, y FROM v_sample WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'
-UNION ALL SELECT 'pooled_pre_and_current', 'development', task, sample_id, d, y FROM v_sample WHERE d <= DATE '1999-12-31'
-UNION ALL SELECT 'pooled_pre_and_current', 'development', task, sample_id, d, y FROM v_sample WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'
+SELECT 'pre_marker_history_only' AS cohort, 'development' AS role, task, sample_id, d, y FROM v_sample WHERE d <= DATE '1997-12-31'
+UNION ALL SELECT 'current_workflow_only', 'development', task, sample_id, d, y FROM v_sample WHERE d BETWEEN DATE '1998-02-01' AND DATE '1999-12-31'
+UNION ALL SELECT 'pooled_pre_and_current', 'development', task, sample_id, d, y FROM v_sample WHERE d <= DATE '1997-12-31'
+UNION ALL SELECT 'pooled_pre_and_current', 'development', task, sample_id, d, y FROM v_sample WHERE d BETWEEN DATE '1998-02-01' AND DATE '1999-12-31'
 UNION ALL SELECT 'common_test', 'test', task, sample_id, d, y FROM v_sample WHERE d BETWEEN DATE '2000-02-01' AND DATE '2001-08-01'"""
 ORACLES["date_window"] = f"""{BASE} SELECT sample_id, task, cluster_id, d AS target_date FROM v_sample WHERE d BETWEEN DATE '2000-02-01' AND DATE '2000-06-30'"""
 
@@ -286,7 +286,7 @@ SELECT s.task, a.validation_year::BIGINT AS fold_index, 'train' AS split, s.samp
 UNION ALL SELECT v.task, v.year, 'validation', v.sample_id, v.y FROM yf_valid v JOIN yf_audit a ON v.task = a.task AND v.year = a.validation_year
 WHERE a.status = 'adequate' AND NOT v.missing AND NOT v.overlap"""
 _hist = """SELECT '{regime}' AS regime, task, fold_index, sample_id, cluster_id, y, split FROM hf_rows"""
-ORACLES["history_folds"] = f"""{BASE}, v_cur AS (SELECT * FROM v_sample WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'), v_pre AS (SELECT * FROM v_sample WHERE d < DATE '1997-01-01'),
+ORACLES["history_folds"] = f"""{BASE}, v_cur AS (SELECT * FROM v_sample WHERE d BETWEEN DATE '1998-02-01' AND DATE '1999-12-31'), v_pre AS (SELECT * FROM v_sample WHERE d < DATE '1998-01-01'),
 {month_folds('v_cur', 'hf')}, r AS (
   {_hist.format(regime='current_workflow_only')} UNION ALL {_hist.format(regime='pooled_pre_and_current')}
   UNION ALL SELECT 'pooled_pre_and_current', p.task, f.fold_index, p.sample_id, p.cluster_id, p.y, 'train' FROM v_pre p JOIN (SELECT DISTINCT task, fold_index FROM hf_rows) f ON p.task = f.task),
@@ -306,7 +306,7 @@ SELECT *, round(positive_n / n_rows + 1.3e-9, 6) AS positive_rate, {_gs} AS supp
 _s1, _r1 = graded("n", "p", "q", 30, 8)
 _s2, _r2 = annual("n", "p", "q", 30, 8)
 _r3 = "CASE WHEN n = 0 THEN 'no_samples' WHEN least(p, q) = 0 THEN 'single_class' WHEN n < 30 THEN 'n<30' WHEN least(p, q) < 8 THEN 'min_class<8' ELSE '' END"
-ORACLES["support_status"] = f"""{BASE}, g AS (SELECT task, sample_id % 97 AS cell, count_if(y = 1)::BIGINT AS p, count_if(y = 0 AND sample_id % 3 = 0)::BIGINT AS q FROM v_sample GROUP BY ALL),
+ORACLES["support_status"] = f"""{BASE}, g AS (SELECT task, sample_id % 97 AS cell, count_if(y = 1)::BIGINT AS p, count_if(y = 0)::BIGINT AS q FROM v_sample GROUP BY ALL),
 h AS (SELECT *, p + q AS n FROM g)
 SELECT *, {_s1} AS graded_status, {_r1} AS graded_reason, {_s2} AS annual_status, {_r2} AS annual_reason,
   CASE WHEN {_r3} = '' THEN 'adequate' ELSE 'insufficient' END AS contract_status, {_r3} AS contract_reason FROM h"""
@@ -315,7 +315,8 @@ ORACLES["group_attach"] = f"""{BASE}, g AS (SELECT sample_id, CASE WHEN sample_i
   'e' || (sample_id % 20) AS episode_id FROM v_sample WHERE sample_id % 7 <> 0)
 SELECT s.sample_id, s.task, s.y, g.cluster_id, g.episode_id FROM v_sample s LEFT JOIN g ON s.sample_id = g.sample_id AND (g.gt = s.task OR g.gt IS NULL OR trim(g.gt) = '')"""
 ORACLES["episode_first_rows"] = f"{BASE} SELECT sample_id, cluster_id, task FROM v_sample WHERE cluster_id IS NOT NULL AND sample_id % 6 <> 0 AND sample_id % 4 = 1"
-ERAS = f"""v_era AS (SELECT *, CASE WHEN d < DATE '1997-07-01' THEN 'pre' ELSE 'current' END AS era FROM v_sample WHERE {usable('cluster_id')} AND d < DATE '2000-01-01'),
+ERAS = f"""v_era AS (SELECT *, CASE WHEN d < DATE '1998-01-01' THEN 'pre' ELSE 'current' END AS era FROM v_sample WHERE {usable('cluster_id')}
+  AND (d < DATE '1998-01-01' OR d BETWEEN DATE '1998-02-01' AND DATE '1999-12-31')),
 v_caps AS (SELECT task, y AS class_label, count_if(era = 'pre')::BIGINT AS pre_available_n, count_if(era = 'current')::BIGINT AS current_available_n,
   least(count_if(era = 'pre'), count_if(era = 'current'))::BIGINT AS common_class_cap_n FROM v_era GROUP BY ALL)"""
 ORACLES["class_caps"] = f"{BASE}, {ERAS} SELECT * FROM v_caps"
@@ -354,7 +355,7 @@ ORACLES["bin_spectrum"] = f"WITH {FEATURES} SELECT spectrum_id, bin, round(value
 ORACLES["replicate_mean"] = f"WITH {FEATURES} SELECT sample_id, bin, round(value + 1.3e-9, 6) AS value FROM v_samplefeat"
 ORACLES["peak_presence"] = f"WITH {FEATURES} SELECT spectrum_id, bin FROM v_feat WHERE value > 0"
 ORACLES["sample_presence"] = f"WITH {FEATURES} SELECT DISTINCT s.sample_id, f.bin FROM v_feat f JOIN v_spectra s USING (spectrum_id)"
-ORACLES["replicate_statistics"] = f"""WITH {FEATURES}, c AS (SELECT sample_id, count(DISTINCT spectrum_id) AS n FROM v_peaks GROUP BY ALL)
+ORACLES["replicate_statistics"] = f"""WITH {FEATURES}, c AS (SELECT o_orderkey // 10 AS sample_id, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY ALL)
 SELECT count(*) AS sample_n, sum(n)::BIGINT AS spectrum_n, min(n) AS min_spectra, median(n)::DOUBLE AS median_spectra, max(n) AS max_spectra FROM c"""
 ORACLES["presence_qc"] = f"""WITH {FEATURES}, o AS (
   SELECT DISTINCT 'above_' || c AS variant, spectrum_id, floor((mz - 2000::DOUBLE) / 3::DOUBLE)::INT AS bin FROM v_peaks CROSS JOIN (SELECT unnest([5, 25]) AS c) WHERE intensity > c AND mz >= 2000 AND mz < 20000),
@@ -555,8 +556,8 @@ _delta = " UNION ALL ".join(
     f"FROM met a JOIN met b ON a.task = b.task AND a.repeat_index = b.repeat_index WHERE a.regime = '{x}' AND b.regime = '{z}'"
     for x, z in _CMP for m, c in (("raw_auroc", "auroc"), ("raw_auprc", "auprc"))
 )
-ORACLES["delta_summary"] = f"""{BASE}, p AS (SELECT task, sample_id, y, unnest(['{_REG[0]}', '{_REG[1]}', '{_REG[2]}']) AS regime, unnest([raw, alt, raw * alt]) AS score FROM v_test),
-q AS (SELECT p.*, repeat_index FROM p CROSS JOIN (SELECT unnest(range(5)) AS repeat_index) WHERE (sample_id + repeat_index) % 5 <> 0),
+ORACLES["delta_summary"] = f"""{BASE}, p AS (SELECT task, sample_id, y, alt, unnest(['{_REG[0]}', '{_REG[1]}', '{_REG[2]}']) AS regime, unnest([raw, alt, raw * alt]) AS score FROM v_test),
+q AS (SELECT task, sample_id, y, regime, repeat_index, p.score * 0.5::DOUBLE + alt * repeat_index * 0.125::DOUBLE AS score FROM p CROSS JOIN (SELECT unnest(range(5)) AS repeat_index)),
 {totals('q', 'task, repeat_index, regime', 'score')}, {metrics('task, repeat_index, regime')}, dl AS ({_delta})
 SELECT task, 1.0::DOUBLE AS learning_fraction, comparison_id, comparator_regime, reference_regime, metric, count(*) AS repeat_n, round(avg(v) + 1.3e-9, 6) AS delta_mean, round(median(v) + 1.3e-9, 6) AS delta_median,
   round(stddev_samp(v) + 1.3e-9, 6) AS delta_sd, round(quantile_cont(v, 0.025) + 1.3e-9, 6) AS repeat_distribution_q025, round(quantile_cont(v, 0.975) + 1.3e-9, 6) AS repeat_distribution_q975, avg((v > 0)::INT) AS fraction_delta_gt_zero
@@ -587,6 +588,10 @@ def finding(name: str, rows: str, count: str = "count(*)", example: str = "e") -
   coalesce(array_to_string(list_sort(list(DISTINCT e::VARCHAR))[1:5], ','), '') AS examples FROM ({rows})"""
 
 
+ORACLES["protocols_disjoint"] = f"{BASE}, {WINDOWS} " + " UNION ALL ".join(
+    finding(f"disjoint:{c}", f"SELECT sample_id AS e FROM v_cohort WHERE cohort = '{c}' GROUP BY sample_id HAVING count(DISTINCT role) > 1")
+    for c in ("A_pre_marker_to_post_marker", "B_post_marker_current_temporal", "C_pooled_history_temporal")
+)
 _spl = """v_split AS (SELECT 'p' AS protocol, site_id, task, CASE WHEN sample_id % 500 = 0 THEN sample_id + 1 ELSE sample_id END AS sample_id,
   CASE WHEN sample_id % 700 = 0 THEN 'holdout' WHEN year < 2000 THEN 'train' ELSE 'test' END AS split FROM v_sample)"""
 ORACLES["release_checks"] = f"{BASE}, {_spl} " + " UNION ALL ".join([
@@ -596,7 +601,7 @@ ORACLES["release_checks"] = f"{BASE}, {_spl} " + " UNION ALL ".join([
     finding("label_category", "SELECT sample_id AS e FROM v_sample WHERE sir NOT IN ('S', 'I', 'R')"),
     finding("label_binary", "SELECT sample_id AS e FROM v_sample WHERE y NOT IN (0, 1)"),
     finding("split_value", "SELECT sample_id AS e FROM v_split WHERE split NOT IN ('train', 'validation', 'test', 'early_70', 'late_30')"),
-    finding("label_sample_known", "SELECT sample_id AS e FROM v_sample WHERE false"),
+    finding("label_sample_known", "SELECT DISTINCT sample_id AS e FROM v_sample WHERE sample_id NOT IN (SELECT o_orderkey FROM orders)"),
     finding("split_sample_known", "SELECT DISTINCT sample_id AS e FROM v_split WHERE sample_id NOT IN (SELECT sample_id FROM v_sample)"),
     finding("label_task_known", "SELECT DISTINCT task AS e FROM v_sample WHERE task = '5-LOW'"),
 ])
@@ -614,7 +619,8 @@ fo AS (SELECT {_key} AS k, task, fold_index, split, y FROM mf_rows) """ + " UNIO
     finding("development_evaluation_disjoint", "SELECT k AS e FROM dv WHERE k IN (SELECT k FROM ev)"),
     finding("fold_evaluation_disjoint", "SELECT DISTINCT k AS e FROM fo WHERE k IN (SELECT k FROM ev)"),
 ])
-ORACLES["contiguous_rows"] = "SELECT 'row_numbers' AS check_name, 1::BIGINT AS violations, 'FAIL' AS status, '2-HIGH' AS examples"
+ORACLES["contiguous_rows"] = f"""{BASE}, n AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY d, sample_id) - 1 AS r FROM v_sample), b AS (SELECT * FROM n WHERE task <> '2-HIGH' OR r <> 7)
+""" + finding("row_numbers", "SELECT task AS e FROM b GROUP BY task HAVING NOT (count(*) = count(DISTINCT r) AND min(r) = 0 AND max(r) = count(*) - 1)")
 _pa = ORACLES["purge_audits"].split("counted AS", 1)
 ORACLES["preflight"] = f"""{BASE}, {WINDOWS}, marked AS ({_marked}), counted AS {_pa[1].split('SELECT *,', 1)[0]},
 audit AS (SELECT *, {_status} AS support_status, CASE WHEN {_status} = 'adequate' THEN 'PASS' ELSE 'FAIL' END AS purge_status FROM counted WHERE mode = 'strict'),
@@ -627,19 +633,20 @@ UNION ALL SELECT 'target_date_coverage', 'ALL', CASE WHEN count(*) = 0 THEN 'PAS
 _d1, _e1 = annual("n", "positive_n", "negative_n", 100, 20)
 _d2, _e2 = annual("n", "positive_n", "negative_n", 30, 10)
 _cc = "SELECT task, count(*) AS n, count_if(y = 1)::BIGINT AS positive_n, count_if(y = 0)::BIGINT AS negative_n"
-ORACLES["task_support"] = f"""{BASE}, a AS ({_cc} FROM v_dev GROUP BY task), b AS ({_cc} FROM v_test WHERE sample_id % 10 = 0 GROUP BY task)
+ORACLES["task_support"] = f"""{BASE}, a AS ({_cc} FROM v_dev GROUP BY task), b AS ({_cc} FROM v_test GROUP BY task)
 SELECT 'development' AS role, *, {_d1} AS status, {_e1} AS reason FROM a UNION ALL SELECT 'test', *, {_d2}, {_e2} FROM b"""
 TREE = """h4 AS (SELECT {k}, substr(h, 1, 4) AS p4, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM hs GROUP BY ALL),
 h2 AS (SELECT {k}, substr(p4, 1, 2) AS p2, sha256(string_agg(p4 || d, '' ORDER BY p4)) AS d, sum(n) AS n FROM h4 GROUP BY ALL),
 tree AS (SELECT {k}, sha256(string_agg(p2 || d, '' ORDER BY p2)) AS tree_sha256, sum(n)::BIGINT AS n FROM h2 GROUP BY ALL)"""
 _text = "concat_ws('{s}', sample_id::VARCHAR, coalesce(cluster_id, '<NA>'), y::VARCHAR)"
-ORACLES["membership_hash"] = f"""{BASE}, r AS (SELECT task, year, d, sample_id, {_text.format(s=chr(9))} AS t FROM v_sample), hs AS (SELECT task, year, sha256(t) AS h FROM r),
-{TREE.format(k='task, year')}, flat AS (SELECT task, year, sha256(string_agg(t, chr(10) ORDER BY d, sample_id)) AS flat_sha256 FROM r GROUP BY ALL HAVING count(*) <= 10000)
-SELECT * FROM tree LEFT JOIN flat USING (task, year)"""
+ORACLES["membership_hash"] = f"""{BASE}, r AS (SELECT task, year, concat_ws(chr(9), row_number() OVER (PARTITION BY task, year ORDER BY d, sample_id) - 1, {_text.format(s=chr(9))}) AS t FROM v_sample),
+hs AS (SELECT task, year, sha256(t) AS h FROM r), {TREE.format(k='task, year')} SELECT * FROM tree"""
+ORACLES["fold_hash"] = f"""{BASE}, {month_folds('v_dev', 'mf')}, hs AS (SELECT task, sha256(concat_ws(chr(9), fold_index::VARCHAR, split, sample_id::VARCHAR)) AS h FROM mf_rows), {TREE.format(k='task')} SELECT * FROM tree"""
 ORACLES["membership_hash_large"] = f"{BASE}, hs AS (SELECT site_id, sha256({_text.format(s='|')}) AS h FROM v_sample), {TREE.format(k='site_id')} SELECT * FROM tree"
 _RX = {
-    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "digit_groups": r"[0-9]{3}-[0-9]{3,4}", "linux_absolute_home": r"/home/[A-Za-z0-9._-]+/",
-    "private_ipv4": r"\b(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2})\b",
+    "mac_absolute_home": r"/Users/[A-Za-z0-9._-]+/", "linux_absolute_home": r"/home/[A-Za-z0-9._-]+/", "windows_absolute_path": r"\b[A-Za-z]:\\[^\s]+",
+    "private_ipv4": r"\b(?:10(?:\.\d{1,3}){3}|192\.168(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2})\b",
+    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "digit_groups": r"[0-9]{3}-[0-9]{3,4}",
 }
 ORACLES["pattern_audit_texts"] = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{src}' AS source, {key} AS row_id, '{n}' AS pattern, len(regexp_extract_all({text}, '{rx}'))::BIGINT AS match_n FROM {src}"

@@ -23,7 +23,7 @@ from cohortlane.plans import views as V
 from cohortlane.plans.audit import collapsed_with_features, label_audit
 from cohortlane.session import cut_lineage
 from cohortlane.sized import spread
-from cohortlane.sources.artifacts import artifact_manifest, pattern_audit, verify_manifest
+from cohortlane.sources.artifacts import PRIVATE_PATTERNS, artifact_manifest, pattern_audit, verify_manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,6 +159,12 @@ def regime_cohorts(spark, sf):
     return C.assign_windows(V.samples(spark, sf), V.DATES.regimes()).select("cohort", "role", "task", "sample_id", "d", "y")
 
 
+@query
+def protocols_disjoint(spark, sf):
+    """One check for each protocol: rows that stand in its development and its test."""
+    return C.windows_disjoint(V.samples(spark, sf), V.DATES.protocols())
+
+
 @query
 def date_window(spark, sf):
     orders = V.table(spark, sf, "orders")
@@ -252,7 +258,7 @@ def history_folds(spark, sf):
     table = C.month_fold_rows(current).select("task", "fold_index", "sample_id", "split")
     parts = [
         C.fold_table_with_history(base, table, history)[1].withColumn("regime", F.lit(regime))
-        for regime, history in (("current_workflow_only", None), ("pooled_pre_and_current", pre.where(F.col("d") < F.lit(V.DATES.current_start))))
+        for regime, history in (("current_workflow_only", None), ("pooled_pre_and_current", pre))
     ]
     return K.all_checks(parts).withColumn("fold_index", F.col("fold_index").cast("bigint"))
 
@@ -267,7 +273,7 @@ def cohort_counts(spark, sf):
 def support_status(spark, sf):
     """The three support vocabularies on small groups of very different size."""
     groups = V.samples(spark, sf).groupBy("task", (F.col("sample_id") % 97).alias("cell")).agg(
-        X.count_true(F.col("y") == 1).alias("p"), X.count_true((F.col("y") == 0) & (F.col("sample_id") % 3 == 0)).alias("q")
+        X.count_true(F.col("y") == 1).alias("p"), X.count_true(F.col("y") == 0).alias("q")
     ).withColumn("n", F.col("p") + F.col("q"))
     out = groups
     for mode in ("graded", "annual", "contract"):
@@ -301,8 +307,9 @@ def episode_first_rows(spark, sf):
 
 def eras(spark: SparkSession, sf: str) -> DataFrame:
     """Pools of the two eras with usable clusters, test era excluded."""
-    base = V.samples(spark, sf).where(X.usable("cluster_id") & (F.col("d") < F.lit(V.DATES.transition_start)))
-    era = F.when(F.col("d") < F.lit(date(1997, 7, 1)), Z.PRE_ERA).otherwise(Z.CURRENT_ERA)
+    before, now = F.col("d") < F.lit(V.DATES.transition_start), F.col("d").between(F.lit(V.DATES.current_start), F.lit(V.DATES.current_end))
+    base = V.samples(spark, sf).where(X.usable("cluster_id") & (before | now))
+    era = F.when(before, Z.PRE_ERA).otherwise(Z.CURRENT_ERA)
     return base.select("task", "sample_id", "cluster_id", "y", "d", era.alias("era"))
 
 
@@ -347,8 +354,7 @@ def sample_presence(spark, sf):
 
 @query
 def replicate_statistics(spark, sf):
-    peaks = V.peaks(spark, sf).select("spectrum_id", "sample_id").distinct()
-    return S.spectra_per_sample(peaks)
+    return S.spectra_per_sample(V.spectra(spark, sf))
 
 
 @query
@@ -545,14 +551,15 @@ def tuning_selection(spark, sf):
 
 @query
 def delta_summary(spark, sf):
-    """Scores evaluated in repeats of one fixed test, compared between regimes and summarised."""
+    """Scores of repeats, each with more of a second score, on one fixed test, compared between regimes and summarised."""
     base = V.test_rows(V.samples(spark, sf))
     score = {Z.REGIMES[0]: F.col("raw"), Z.REGIMES[1]: F.col("alt"), Z.REGIMES[2]: F.col("raw") * F.col("alt")}
     parts = F.explode(F.array(*[F.struct(F.lit(r).alias("training_regime"), s.alias("score")) for r, s in score.items()]))
     repeats = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("repeat_index")
-    rows = base.select("task", "sample_id", "y", parts.alias("p"), repeats).where((F.col("sample_id") + F.col("repeat_index")) % 5 != 0)
+    rows = base.select("task", "sample_id", "y", "alt", parts.alias("p"), repeats)
     keys = ["task", "repeat_index", "training_regime"]
-    scores = M.score_metrics(rows.select("task", "repeat_index", "y", "p.*"), keys)
+    score = F.col("p.score") * F.lit(0.5) + F.col("alt") * F.col("repeat_index") * F.lit(0.125)
+    scores = M.score_metrics(rows.select("task", "repeat_index", "y", "p.training_regime", score.alias("score")), keys)
     metrics = scores.select(
         *keys, F.lit(1.0).alias("learning_fraction"), F.lit("ok").alias("status"), F.lit("fixed").alias("fixed_test_signature"),
         (F.col("positive_n") + F.col("negative_n")).alias("n_test"), F.lit(100).alias("n_development"),
@@ -666,7 +673,7 @@ def task_support(spark, sf):
     """Minimum support of a task: 100/20 in development, 30/10 in the test; failing tasks stay as rows."""
     base = V.samples(spark, sf)
     parts = []
-    for role, rows, total, minimum in (("development", V.development(base), 100, 20), ("test", V.test_rows(base).where(F.col("sample_id") % 10 == 0), 30, 10)):
+    for role, rows, total, minimum in (("development", V.development(base), 100, 20), ("test", V.test_rows(base), 30, 10)):
         counts = C.class_counts(rows, BY_TASK)
         status, reason = C.support_status("annual", F.col("n"), F.col("positive_n"), F.col("negative_n"), total, minimum)
         parts.append(counts.select(F.lit(role).alias("role"), "*", status.alias("status"), reason.alias("reason")))
@@ -676,7 +683,13 @@ def task_support(spark, sf):
 @query
 def membership_hash(spark, sf):
     rows = V.samples(spark, sf)
-    return R.membership_digest(rows, ["task", "year"], ["sample_id", "cluster_id", "y"], ["d", "sample_id"])
+    return R.membership_digest(rows, ["task", "year"], ["sample_id", "cluster_id", "y"], "d", "sample_id")
+
+
+@query
+def fold_hash(spark, sf):
+    """Digest of the fold membership of each task."""
+    return R.fold_digest(month_folds_of(spark, sf), BY_TASK)
 
 
 @query
@@ -685,10 +698,8 @@ def membership_hash_large(spark, sf):
     return R.tree_digest(V.samples(spark, sf), ["site_id"], R.row_text(["sample_id", "cluster_id", "y"], "|"))
 
 
-TEXT_PATTERNS = {
-    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "digit_groups": r"[0-9]{3}-[0-9]{3,4}", "linux_absolute_home": r"/home/[A-Za-z0-9._-]+/",
-    "private_ipv4": r"\b(?:10(?:\.[0-9]{1,3}){3}|192\.168(?:\.[0-9]{1,3}){2})\b",
-}
+# the fixed patterns, and two that occur in the given texts
+TEXT_PATTERNS = PRIVATE_PATTERNS | {"email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]+", "digit_groups": r"[0-9]{3}-[0-9]{3,4}"}
 
 
 @query
@@ -704,13 +715,13 @@ def pattern_audit_texts(spark, sf):
 
 @query
 def manifest_of_tables(spark, sf):
-    return artifact_manifest(spark, [sf], "*.parquet")
+    return artifact_manifest(spark, sf, "*.parquet")
 
 
 @query
 def manifest_check(spark, sf):
     """The manifest of the table folder checked against itself with one changed and one absent entry."""
-    files = artifact_manifest(spark, [sf], "*.parquet")
+    files = artifact_manifest(spark, sf, "*.parquet")
     expected = files.select("relative_path", F.when(F.col("relative_path") == "part.parquet", "0").otherwise(F.col("sha256")).alias("sha256"))
     found = files.where(F.col("relative_path") != "nation.parquet")
     return verify_manifest(found, expected)

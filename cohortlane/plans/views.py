@@ -12,7 +12,7 @@ from cohortlane.sized import spread
 from cohortlane.sources.tables import read_table
 
 DATES = ProtocolDates(
-    transition_start=date(2000, 1, 1), transition_end=date(2000, 1, 31), current_start=date(1997, 1, 1), current_end=date(1999, 12, 31),
+    transition_start=date(1998, 1, 1), transition_end=date(1998, 1, 31), current_start=date(1998, 2, 1), current_end=date(1999, 12, 31),
     test_start=date(2000, 2, 1), test_end=date(2001, 8, 1),
 )
 DEVELOPMENT = (date(1995, 1, 1), date(1999, 12, 31))

@@ -30,11 +30,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` in the cluster's shared checkpoint folder and continue from the stored copy.
 
     Model fits read the same rows dozens of times, so they start from stored data that survives
-    the loss of executors. A private folder is used only where the session names none.
+    the loss of executors. A session on a cluster must name the folder in ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)

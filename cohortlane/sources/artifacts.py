@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlane.functions.columns import count_true
 
-HASH_SIZE_LIMIT = 512 * 1024 * 1024
 # Patterns of private locations in text.
 PRIVATE_PATTERNS = {
     "mac_absolute_home": r"/Users/[A-Za-z0-9._-]+/",
@@ -23,16 +23,22 @@ FORBIDDEN_SUFFIXES = (
 )
 
 
-def artifact_manifest(spark: SparkSession, paths: Sequence[str], pattern: str = "*", size_limit: int = HASH_SIZE_LIMIT) -> DataFrame:
-    """Path, bytes and SHA-256 of files; the content of a file above the limit is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths))
-    hashed = files.where(F.col("length") <= size_limit).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit("hashed").alias("hash_status"))
-    skipped = files.where(F.col("length") > size_limit).select(
-        "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("skipped_size").alias("hash_status")
-    )
-    return hashed.unionByName(skipped).select(
-        F.element_at(F.split("path", "/"), -1).alias("relative_path"), F.col("length").alias("bytes"), "sha256", "hash_status"
-    )
+def artifact_manifest(spark: SparkSession, root: str, pattern: str = "*", size_limit: int | None = None) -> DataFrame:
+    """Path below ``root``, bytes and SHA-256 of all files under it.
+
+    A file's content is one value, which Spark limits to 2 GB; tables are compared by the digest of their rows
+    (``compare.tree_digest``). With ``size_limit`` larger files are listed without a digest.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    read = F.lit(True) if size_limit is None else F.col("length") <= size_limit
+    hashed = files.where(read).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit("hashed").alias("hash_status"))
+    if size_limit is not None:
+        hashed = hashed.unionByName(files.where(~read).select(
+            "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("skipped_size").alias("hash_status")
+        ))
+    folder = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
+    below = F.expr("substring(path, position(folder in path) + length(folder))")
+    return hashed.withColumn("folder", F.lit(folder)).select(below.alias("relative_path"), F.col("length").alias("bytes"), "sha256", "hash_status")
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
     An empty manifest, or one that lists a path twice, fails the job.
     """
-    right = files.select("relative_path", F.col("sha256").alias("_found"), F.lit(True).alias("_there"))
+    right = files.groupBy("relative_path").agg(F.max("sha256").alias("_found"), F.lit(True).alias("_there"))
     listed = manifest.groupBy("relative_path").agg(F.count(F.lit(1)).alias("_n"), F.max("sha256").alias("sha256"))
     joined = listed.join(right, "relative_path", "left")
     counts = joined.agg(
