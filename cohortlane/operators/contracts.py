@@ -139,7 +139,8 @@ def development_contract(development: DataFrame, folds: DataFrame, evaluation: D
     """Leakage contract per task: unique development rows, folds inside development, disjoint splits,
     each validation sample in one fold, both classes everywhere, at least two folds.
 
-    ``folds`` is the long table ``(task, fold_index, split, sample_id, y)``.
+    ``folds`` is the long table ``(task, fold_index, split, sample_id, y)``. If all three tables have ``cluster_id``, no usable
+    cluster of a task may stand on both sides either.
     """
     key = F.concat_ws("|", "task", F.col("sample_id").cast("string"))
     dev = development.withColumn("_id", key)
@@ -160,7 +161,18 @@ def development_contract(development: DataFrame, folds: DataFrame, evaluation: D
         .agg(count_true(F.col("split") == "train").alias("t"), count_true(F.col("split") == "validation").alias("v"))
         .where((F.col("t") > 0) & (F.col("v") > 0))
     )
+    clusters = []
+    if all("cluster_id" in t.columns for t in (development, folds, evaluation)):
+        unit, cell = F.concat_ws("|", "task", "cluster_id"), F.concat_ws("|", "task", F.col("fold_index").cast("string"), "cluster_id")
+        known = [t.where(usable("cluster_id")).withColumn("_cluster", unit) for t in (dev, fold, test)]
+        cells = known[1].withColumn("_cluster", cell)
+        clusters = [
+            shared_keys(cells.where(F.col("split") == "train"), cells.where(F.col("split") == "validation"), "_cluster", "train_validation_clusters_disjoint"),
+            shared_keys(known[0], known[2], "_cluster", "development_evaluation_clusters_disjoint"),
+            shared_keys(known[1], known[2], "_cluster", "fold_evaluation_clusters_disjoint"),
+        ]
     return all_checks([
+        *clusters,
         duplicate_keys(dev, ["task", "sample_id"], "development_key"),
         rows_where(dev_class, ~((F.col("low") == 0) & (F.col("high") == 1)), "task", "development_both_classes"),
         rows_where(fold_n, F.coalesce(F.col("folds"), F.lit(0)) < 2, "task", "at_least_two_folds"),

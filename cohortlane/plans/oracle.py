@@ -606,8 +606,24 @@ ORACLES["release_checks"] = f"{BASE}, {_spl} " + " UNION ALL ".join([
     finding("label_task_known", "SELECT DISTINCT task AS e FROM v_sample WHERE task = '5-LOW'"),
 ])
 _key = "concat_ws('|', task, sample_id)"
-ORACLES["leakage_checks"] = f"""{BASE}, {month_folds('v_dev', 'mf')}, ev AS (SELECT {_key} AS k FROM v_sample WHERE d >= DATE '1999-12-20'), dv AS (SELECT {_key} AS k, task, y FROM v_dev),
-fo AS (SELECT {_key} AS k, task, fold_index, split, y FROM mf_rows) """ + " UNION ALL ".join([
+_ck = f"CASE WHEN {usable('cluster_id')} THEN concat_ws('|', task, cluster_id) END"
+ORACLES["label_sample_join"] = f"{BASE} SELECT l_orderkey AS sample_id, l_linenumber, l_returnflag AS category, site_id, feature_row FROM lineitem JOIN v_sample ON l_orderkey = sample_id"
+ORACLES["score_pairs"] = f"{BASE} SELECT task, sample_id, raw, alt FROM v_test"
+ORACLES["split_rows"] = f"{BASE} SELECT task, sample_id, CASE WHEN year < 2000 THEN 'train' ELSE 'test' END AS split, y, d FROM v_sample WHERE year >= 1998"
+ORACLES["join_findings"] = f"{BASE}, k AS (SELECT sample_id FROM v_sample WHERE sample_id % 97 <> 0), l AS (SELECT DISTINCT l_orderkey AS s FROM lineitem) " + " UNION ALL ".join([
+    finding("labels:left_without_right", "SELECT s AS e FROM l WHERE s NOT IN (SELECT sample_id FROM k)"),
+    finding("labels:right_key", "SELECT sample_id AS e, count(*) AS n FROM k GROUP BY 1 HAVING n > 1", "sum(n)"),
+    finding("samples:left_without_right", "SELECT s AS e FROM l WHERE s NOT IN (SELECT sample_id FROM v_sample)"),
+    finding("samples:right_key", "SELECT sample_id AS e, count(*) AS n FROM v_sample GROUP BY 1 HAVING n > 1", "sum(n)"),
+    finding("samples:left_key", "SELECT s AS e, count(*) AS n FROM l GROUP BY 1 HAVING n > 1", "sum(n)"),
+    finding("samples:right_without_left", "SELECT sample_id AS e FROM v_sample WHERE sample_id NOT IN (SELECT s FROM l)"),
+])
+ORACLES["union_of_parts"] = f"{BASE} SELECT task, sample_id, CASE WHEN site_id = 'A' THEN raw END AS raw, CASE WHEN site_id = 'B' THEN alt END AS alt FROM v_sample"
+ORACLES["leakage_checks"] = f"""{BASE}, {month_folds('v_dev', 'mf')}, ev AS (SELECT {_key} AS k, {_ck} AS c FROM v_sample WHERE d >= DATE '1999-12-20'), dv AS (SELECT {_key} AS k, {_ck} AS c, task, y FROM v_dev),
+fo AS (SELECT {_key} AS k, {_ck} AS c, task, fold_index, split, y FROM mf_rows) """ + " UNION ALL ".join([
+    finding("train_validation_clusters_disjoint", "SELECT concat_ws('|', task, fold_index, substr(c, length(task) + 2)) AS e FROM fo WHERE c IS NOT NULL GROUP BY task, fold_index, c HAVING count(DISTINCT split) > 1"),
+    finding("development_evaluation_clusters_disjoint", "SELECT DISTINCT c AS e FROM dv WHERE c IN (SELECT c FROM ev WHERE c IS NOT NULL)"),
+    finding("fold_evaluation_clusters_disjoint", "SELECT DISTINCT c AS e FROM fo WHERE c IN (SELECT c FROM ev WHERE c IS NOT NULL)"),
     finding("development_key", "SELECT k AS e, count(*) AS n FROM dv GROUP BY 1 HAVING n > 1", "sum(n)"),
     finding("development_both_classes", "SELECT task AS e FROM dv GROUP BY 1 HAVING NOT (min(y) = 0 AND max(y) = 1)"),
     finding("at_least_two_folds", "SELECT t.task AS e FROM (SELECT DISTINCT task FROM dv) t LEFT JOIN fo ON t.task = fo.task GROUP BY 1 HAVING count(DISTINCT fold_index) < 2"),

@@ -15,6 +15,7 @@ from cohortlane.operators import cohorts as C
 from cohortlane.operators import compare as R
 from cohortlane.operators import contracts as K
 from cohortlane.operators import features as S
+from cohortlane.operators import joins as J
 from cohortlane.operators import labels as L
 from cohortlane.operators import metrics as M
 from cohortlane.operators import models as N
@@ -632,11 +633,48 @@ def release_checks(spark, sf):
 @query
 def leakage_checks(spark, sf):
     base = V.samples(spark, sf)
-    folds = month_folds_of(spark, sf).select("task", "fold_index", "split", "sample_id", "y")
+    folds = month_folds_of(spark, sf).select("task", "fold_index", "split", "sample_id", "cluster_id", "y")
     evaluation = base.where((F.col("d") >= F.lit(date(1999, 12, 20))))
     return K.development_contract(V.development(base), folds, evaluation)
 
 
+@query
+def label_sample_join(spark, sf):
+    """Every label row with the feature row of its sample; both must exist."""
+    labels = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"), "l_linenumber", F.col("l_returnflag").alias("category"))
+    return J.many_to_one(labels, V.samples(spark, sf).select("sample_id", "site_id", "feature_row"), ["sample_id"])
+
+
+@query
+def score_pairs(spark, sf):
+    """Two scores of the same test rows, joined one to one."""
+    base = V.test_rows(V.samples(spark, sf))
+    return J.one_to_one(base.select("task", "sample_id", "raw"), base.select("task", "sample_id", "alt"), ["task", "sample_id"])
+
+
+@query
+def split_rows(spark, sf):
+    """Labels of the rows that a split table lists."""
+    base = V.samples(spark, sf)
+    splits = base.where(F.col("year") >= 1998).select("task", "sample_id", F.when(F.col("year") < 2000, "train").otherwise("test").alias("split"))
+    return J.split_join(base.select("task", "sample_id", "y", "d"), splits, ["task", "sample_id"])
+
+
+@query
+def join_findings(spark, sf):
+    """What the join checks report: samples without labels, labels of unknown samples, repeated keys."""
+    labels = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_id"))
+    known = V.samples(spark, sf).where(F.col("sample_id") % 97 != 0).select("sample_id")
+    return K.all_checks([J.join_checks(labels, known, ["sample_id"], "m:1", "labels"), J.join_checks(labels.distinct(), V.samples(spark, sf).select("sample_id"), ["sample_id"], "1:1", "samples")])
+
+
+@query
+def union_of_parts(spark, sf):
+    """Rows of two sources with different columns, one row per key."""
+    base = V.samples(spark, sf)
+    return J.union_parts([base.where("site_id = 'A'").select("task", "sample_id", "raw"), base.where("site_id = 'B'").select("task", "sample_id", "alt")], ["task", "sample_id"])
+
+
 @query
 def contiguous_rows(spark, sf):
     rows = V.samples(spark, sf).select("task", "sample_id", "d")
