@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, whose results are stored tables by now.
+
+    Spark's cleaner deletes them once the driver has collected the jobs' objects, which it else does at some later time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that :func:`stored` wrote in this session."""
     for item in [x for x in _written if x[0] is spark]:
