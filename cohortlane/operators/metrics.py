@@ -256,7 +256,7 @@ def logistic_fit(df: DataFrame, keys: Sequence[str], x: Column, y: str = "y", we
     Rows are reduced to (group, x, pos, neg) once and stored. Every step is one aggregation of six
     sums per group for all groups together; the driver solves 2x2 systems, one per group. More than
     ``GROUPS_AT_ONCE`` groups are fitted in several rounds. The slope has a weak ridge penalty.
-    Groups of one class give NULL.
+    Groups of one class give NULL. ``converged`` tells whether the last step was below 1e-10.
     """
     keys = list(keys)
     w = F.lit(1) if weight is None else F.col(weight)
@@ -316,9 +316,8 @@ def _newton(points: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
             current[key] = b - step
             if np.abs(step).max() < 1e-10:
                 fitted[key] = current.pop(key)
-    fitted.update(current)
-    rows = [(*k, float(b[0]), float(b[1])) for k, b in fitted.items()]
-    return spark.createDataFrame(rows, wide("slope", "intercept"))
+    rows = [(*k, float(b[0]), float(b[1]), done) for found, done in ((fitted, True), (current, False)) for k, b in found.items()]
+    return spark.createDataFrame(rows, wide("slope", "intercept").add("converged", "boolean"))
 
 
 def calibration_line(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
@@ -327,11 +326,11 @@ def calibration_line(df: DataFrame, keys: Sequence[str], score: str = "score", y
 
 
 def guarded_platt(df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y", *, on_logit: bool = True) -> DataFrame:
-    """Platt parameters with an explicit guard: a slope that is not finite or not positive fails."""
+    """Platt parameters with an explicit guard: a slope that is not finite or not positive, or a fit without convergence, fails."""
     fit = logistic_fit(df, keys, clipped_logit(score) if on_logit else F.col(score), y)
     finite = F.col("slope").isNotNull() & ~F.isnan("slope") & (F.abs("slope") < float("inf"))
-    status = F.when(~finite | (F.col("slope") <= 0), "failed").otherwise("ok")
-    reason = F.when(~finite, "nonfinite_platt_slope").when(F.col("slope") <= 0, "nonpositive_platt_slope").otherwise("")
+    status = F.when(~finite | (F.col("slope") <= 0) | ~F.col("converged"), "failed").otherwise("ok")
+    reason = F.when(~finite, "nonfinite_platt_slope").when(F.col("slope") <= 0, "nonpositive_platt_slope").when(~F.col("converged"), "not_converged").otherwise("")
     return fit.select(
         *keys, F.col("slope").alias("platt_slope"), F.col("intercept").alias("platt_intercept"),
         status.alias("calibration_status"), reason.alias("calibration_failure_reason"),
@@ -366,7 +365,7 @@ def metric_bundle(
     parts = score_metrics(stacked, [*keys, "kind"])
     names = ["auroc", "auprc", "auprc_lift", "brier", "ece"]
     if calibration:
-        parts = parts.join(calibration_line(stacked, [*keys, "kind"]), [*keys, "kind"], "left")
+        parts = parts.join(calibration_line(stacked, [*keys, "kind"]).drop("converged"), [*keys, "kind"], "left")
         parts = parts.withColumnsRenamed({"slope": "calibration_slope", "intercept": "calibration_intercept"})
         names += ["calibration_slope", "calibration_intercept"]
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}")

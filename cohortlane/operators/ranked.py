@@ -17,12 +17,19 @@ from pyspark.sql import functions as F
 BUCKET_BITS = (12, 24)
 
 
+def checked_score(score: str, y: str) -> Column:
+    """The score, failing the job where it is missing or outside [0, 1] or the label is not 0 or 1."""
+    valid = F.coalesce((F.col(score) >= 0) & (F.col(score) <= 1) & F.col(y).isin(0, 1), F.lit(False))  # NaN is above every number
+    message = F.concat(F.lit("score outside [0, 1] or label outside 0/1: "), F.coalesce(F.col(score).cast("string"), F.lit("NULL")), F.lit(", "), F.coalesce(F.col(y).cast("string"), F.lit("NULL")))
+    return F.when(valid, F.col(score)).otherwise(F.raise_error(message).cast("double"))
+
+
 def score_table(
     df: DataFrame, keys: Sequence[str], score: str = "score", y: str = "y", weight: str | Column | None = None
 ) -> DataFrame:
-    """One row per group and distinct score with (weighted) positive and negative counts."""
+    """One row per group and distinct score with (weighted) positive and negative counts; a bad score or label fails."""
     w = F.lit(1) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    return df.groupBy(*keys, score).agg(
+    return df.groupBy(*keys, checked_score(score, y).alias(score)).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(0)).cast("bigint").alias("pos"),
         F.sum(F.when(F.col(y) == 0, w).otherwise(0)).cast("bigint").alias("neg"),
     )
@@ -41,7 +48,7 @@ def running_totals(
     levels = [f"_bucket{i}" for i in range(len(bits))]
     # Bucket numbers are never NULL, so the joins below add no filter that differs between branches
     # and the exchange of the score table is computed once.
-    base = leaf.where(F.col(score).isNotNull())
+    base = leaf
     for name, b in zip(levels, bits, strict=True):
         base = base.withColumn(name, F.coalesce(F.floor(F.col(score) * F.lit(float(2**b))), F.lit(-1)))
     point = F.struct(F.col(score).alias("at"), *[F.col(m) for m in measures])

@@ -687,11 +687,12 @@ def newton(source: str, keys: str, x: str, steps: int = 12) -> str:
         ctes.append(
             f"fit{i + 1} AS (SELECT {keys}, b - (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS b, a - (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS a FROM sum{i})"
         )
-    return ", ".join(ctes) + f", fit AS (SELECT {keys}, b AS slope, a AS intercept FROM fit{steps})"
+    last = f"abs(p.b - q.b) + abs(p.a - q.a) < 1e-9"
+    return ", ".join(ctes) + f", fit AS (SELECT {cols}, q.b AS slope, q.a AS intercept, {last} AS converged FROM fit{steps - 1} p JOIN fit{steps} q ON {on})"
 
 
 _LOGIT = "ln(greatest(1e-6, least(1 - 1e-6, raw)) / (1 - greatest(1e-6, least(1 - 1e-6, raw))))"
-ORACLES["calibration_slope"] = f"{BASE}, {newton('v_sample', 'task, site_id', _LOGIT)} SELECT task, site_id, {rnd('slope, intercept')} FROM fit"
+ORACLES["calibration_slope"] = f"{BASE}, {newton('v_sample', 'task, site_id', _LOGIT)} SELECT task, site_id, {rnd('slope, intercept')}, converged FROM fit"
 ORACLES["platt_calibration"] = f"""{BASE}, {newton('v_dev', 'task', _LOGIT)},
 g AS (SELECT *, slope > 0 AS ok FROM fit), s AS (SELECT t.task, CASE WHEN ok THEN 1 / (1 + exp(-(slope * {_LOGIT} + intercept))) END AS c FROM v_test t JOIN g ON t.task = g.task)
 SELECT s.task, count(*) AS n, count(c) AS calibrated_n, round(avg(c) + 1.3e-9, 6) AS mean_probability, round(any_value(slope) + 1.3e-9, 6) AS platt_slope,

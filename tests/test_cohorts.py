@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlane.operators import cohorts as C
-from cohortlane.operators.compare import membership_digest, row_ordinal, row_text, tree_digest
+from cohortlane.operators.compare import fold_digest, membership_digest, row_ordinal, row_text, tree_digest
 
 
 def ids(df, column="sample_id"):
@@ -167,5 +167,29 @@ def test_digests_depend_on_members_only(spark):
     one = tree_digest(df, ["g"], row_text(["i", "c"])).first()
     assert one.n == 500 and one == tree_digest(df.orderBy(F.col("i").desc()).repartition(7), ["g"], row_text(["i", "c"])).first()
     assert one.tree_sha256 != tree_digest(df.where("i <> 3"), ["g"], row_text(["i", "c"])).first().tree_sha256
-    both = membership_digest(df, ["g"], ["i", "c"], ["i"], flat_rows=499).first()
-    assert both.flat_sha256 is None and both.tree_sha256 == one.tree_sha256
+
+
+def test_membership_digest_depends_on_order(spark):
+    rows = [("g", i, f"c{i}", date(2020, 1, 1 + i % 9)) for i in range(300)]
+    schema = "g string, i long, c string, d date"
+    digest = lambda r: membership_digest(spark.createDataFrame(r, schema), ["g"], ["i", "c"], "d", "i").first()
+    moved = [(g, i, c, date(2020, 2, 1) if i == 7 else d) for g, i, c, d in rows]
+    assert digest(rows) == digest(rows[::-1]) and digest(rows).tree_sha256 != digest(moved).tree_sha256
+    folds = spark.createDataFrame([("g", f, s, i) for f in range(2) for i, s in ((1, "train"), (2, "validation"))], "g string, fold_index int, split string, sample_id long")
+    other = folds.withColumn("split", F.when((F.col("sample_id") == 2) & (F.col("fold_index") == 1), "train").otherwise(F.col("split")))
+    assert fold_digest(folds, ["g"]).first() != fold_digest(other, ["g"]).first()
+
+
+def test_protocol_dates_in_order():
+    with pytest.raises(ValueError, match="not in order"):
+        C.ProtocolDates(current_start=date(2020, 1, 1))
+
+
+def test_repeated_dates_and_groups_fail(spark):
+    dates = spark.createDataFrame([("a", "2020-01-05"), ("a", "2020-01-06")], "sample_id string, collection_date string")
+    for bad in (dates, spark.createDataFrame([(None, "2020-01-05")], dates.schema), spark.createDataFrame([(" ", "2020-01-05")], dates.schema)):
+        with pytest.raises(Exception, match="missing or repeated sample"):
+            C.normalize_dates(bad).collect()
+    groups = spark.createDataFrame([(1, "t", "g1", "e"), (1, "t", "g2", "e")], "sample_id long, task string, cluster_id string, episode_id string")
+    with pytest.raises(Exception, match="repeated grouping rows"):
+        C.attach_groups(spark.createDataFrame([(1, "t")], "sample_id long, task string"), groups).collect()

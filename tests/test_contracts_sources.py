@@ -120,7 +120,10 @@ def test_peak_files(spark, tmp_path):
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     (tmp_path / "b.txt").write_text("x" * 100)
-    files = A.artifact_manifest(spark, [str(tmp_path)], "*.txt", size_limit=50)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.txt").write_text("other")
+    assert {r.relative_path for r in A.artifact_manifest(spark, f"file://{tmp_path}/", "*.txt").where("sha256 is not null").collect()} == {"a.txt", "b.txt", "deep/a.txt"}
+    files = A.artifact_manifest(spark, str(tmp_path), "*.txt", size_limit=50)
     got = {r.relative_path: r for r in files.collect()}
     assert got["a.txt"].sha256 == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824" and got["b.txt"].hash_status == "skipped_size"
     same = files.select("relative_path", "sha256").where("sha256 is not null")
