@@ -51,15 +51,29 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and nothing needs any more."""
+    for df in tables:
+        files = df.inputFiles()
+        folder = files[0].rsplit("/", 1)[0].rsplit("/", 1)[-1] if files else None
+        for item in [x for x in _written if x[1].endswith(f"/{folder}")]:
+            _delete(item)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables that :func:`stored` wrote in this session."""
+    """Delete all tables that :func:`stored` wrote in this session."""
     for item in [x for x in _written if x[0] is spark]:
-        _written.remove(item)
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the gateway may be gone at the end of the driver
-            return
+        _delete(item)
+
+
+def _delete(item: tuple[SparkSession, str]) -> None:
+    spark, path = item
+    _written.remove(item)
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone at the end of the driver
+        return
 
 
 @atexit.register
@@ -191,6 +205,9 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             lower.join(jump, "component", "left")
             .select("id", F.coalesce("further", "component").alias("component"), "was")
         )
-        if done == rounds or following.filter("component <> was").isEmpty():
+        ended = done == rounds or following.filter("component <> was").isEmpty()
+        discard(labels, lower)
+        if ended:
+            discard(both)
             return following.select("id", "component")
         labels = following.select("id", "component")
