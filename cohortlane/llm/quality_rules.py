@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from . import shared, textstats
 
-RISK = 0.05
+RISK = 0.02
 LEVEL = 0.05
-RUNGS = (0.0005, 0.001, 0.002, 0.004, 0.007, 0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04, 0.045)
+RUNGS = (0.0005, 0.001, 0.002, 0.004, 0.006, 0.008, 0.01, 0.012, 0.014, 0.016, 0.018)
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 
