@@ -359,8 +359,9 @@ MINIMUM_MONTHS = 4
 
 
 def latest_rows(df: DataFrame, task: str, sample: str, day: str) -> DataFrame:
-    """Dated rows, the latest one per task and sample."""
-    return keep_extreme(df.where(F.col(day).isNotNull()), [task, sample], [day], last=True)
+    """Dated rows, the latest one per task and sample; rows of one day are ordered by their other columns."""
+    rest = [c for c in df.columns if c not in (task, sample, day)]
+    return keep_extreme(df.where(F.col(day).isNotNull()), [task, sample], [day, *rest], last=True)
 
 
 def month_fold_audit(df: DataFrame, *, task: str = "task", sample: str = "sample_id", day: str = "d") -> DataFrame:

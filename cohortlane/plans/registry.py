@@ -813,7 +813,7 @@ def logistic_tuned(spark, sf):
 def logistic_protocol(spark, sf):
     """Tune, out-of-fold scores, Platt, thresholds, refit and the metric bundle of the test cohort."""
     development, folds, test, features = embedding_tables(spark, sf)
-    run = N.run_protocol(development, folds, test, features, N.LogisticLearner(max_iter=25), SEED,
+    run = N.run_protocol(development, folds, test, features, N.LogisticLearner(max_iter=25), SEED, policy="roc",
                          grid=[{"C": c, "class_weight": w} for c in (0.01, 1.0) for w in (None, "balanced")])
     return N.evaluate_run(run, calibration=True)
 
