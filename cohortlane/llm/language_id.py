@@ -257,7 +257,7 @@ def label(docs: DataFrame, model: ByteNetwork, text_column: str = "text", predic
                 found, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, prediction, score])
 
-    return marked.mapInArrow(run, schema)
+    return shared.smaller_batches(marked).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

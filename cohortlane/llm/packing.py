@@ -161,7 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
     An empty table gives no pieces. Places come from ranks in a stored table, so repeated tasks give the same result.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    pieces = shared.stored(source.mapInArrow(_pieces(vocabulary, capacity, end_id), _PIECE))
+    pieces = shared.stored(shared.smaller_batches(source).mapInArrow(_pieces(vocabulary, capacity, end_id), _PIECE))
     counts = shared.stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     rows, sequences = plan({length: n for length, n in histogram.items() if length < capacity}, capacity)

@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: AdditiveModel, text_column: str = "text", scor
             parts = [model.score(features(textstats.block_counts(data, offsets))) for _, _, data, offsets in shared.byte_blocks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*names, score_column])
 
-    return docs.mapInArrow(run, schema)
+    return shared.smaller_batches(docs).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:

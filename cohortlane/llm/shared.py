@@ -42,6 +42,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def smaller_batches(df: DataFrame) -> DataFrame:
+    """Let the session hand texts to Python in batches of at most ``BATCH_ROWS`` rows, which bounds the memory of a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs, whose results are stored tables by now.
 
