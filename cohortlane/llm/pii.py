@@ -7,7 +7,7 @@ A term t (a word) reveals an entity e by pointwise mutual information relative t
 
 with p(e|t) = occurrences of t within ``WINDOW`` code points of an e on its line / all occurrences of t, and p(e) the
 share of all words that stand in such windows. Terms at or above ``THRESHOLD`` seen in at least ``CONTEXTS`` different
-contexts (so copies of one passage count once) become spans in the documents that hold the entity.
+contexts (so copies of one passage count once) become spans in every document, also in those without the entity.
 """
 
 from __future__ import annotations
@@ -144,24 +144,34 @@ def find(docs: DataFrame, text_column: str = "text", window: int = WINDOW, thres
     """
     others = [c for c in docs.columns if c != text_column and not c.startswith("pii_")]
     text = F.coalesce(F.col(text_column), F.lit(""))
-    base = _base(text)
-    found = docs.select(*(F.col(f"`{c}`") for c in others), text.alias("pii_text"), base.alias("pii_base"))
-    if not keep_text:
-        found = found.withColumn("pii_text", F.when(F.size("pii_base") > 0, F.col("pii_text")))
+    found = docs.select(*(F.col(f"`{c}`") for c in others), text.alias("pii_text"), _base(text).alias("pii_base"))
     found = shared.stored(found.withColumn("pii_row", F.monotonically_increasing_id()))  # a stored row number stays
     hit = found.filter(F.size("pii_base") > 0)
     terms = disclosing_terms(
-        hit.select(F.col("pii_text").alias("text"), F.col("pii_base").alias("spans")), docs.select(text.alias("text")), window, threshold, contexts
+        hit.select(F.col("pii_text").alias("text"), F.col("pii_base").alias("spans")), found.select(F.col("pii_text").alias("text")), window, threshold, contexts
     )
-    by_entity = shared.stored(terms.groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms")))
-    per_row = (
-        hit.select("pii_row", F.explode(F.array_distinct(F.transform("pii_base", _entity))).alias("entity")).join(by_entity, "entity")
-        .groupBy("pii_row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("terms"))), asc=False).alias("terms"))
+    words = shared.stored(terms.select("term").distinct())
+    marked = found.withColumn("pii_spans", F.col("pii_base")) if words.isEmpty() else _marked(found, words)
+    columns = [*others, *(["pii_text"] if keep_text else []), "pii_base", "pii_spans"]
+    return marked.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def _few(df: DataFrame, weight: Column, most: int = 100_000) -> DataFrame:
+    """``df`` for broadcasting if its summed ``weight`` is small, else unchanged, for a shuffle join."""
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= most else df
+
+
+def _marked(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with ``pii_spans``: every row is searched for the terms that it holds, with or without an entity."""
+    held = (
+        found.select("pii_row", F.explode(F.array_distinct(_words(F.col("pii_text")))).alias("term")).join(_few(words, F.lit(1)), "term")
+        .groupBy("pii_row").agg(F.sort_array(F.collect_set("term"), asc=False).alias("terms"))
     )
+    held = shared.stored(held)
     quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|")
     edge = r"[\s" + "".join(f"\\{c}" for c in _PUNCTUATION if not c.isspace()) + "]"
     pattern = F.concat(F.lit(rf"(?iu)(?:(?<={edge})|^)(?:"), quoted, F.lit(rf")(?={edge}|$)"))
-    marked = hit.join(per_row, "pii_row", "left").withColumn(
+    return found.join(_few(held, F.size("terms")), "pii_row", "left").withColumn(
         "pii_spans",
         F.when(F.col("terms").isNull(), F.col("pii_base")).otherwise(F.array_sort(F.concat(
             "pii_base",
@@ -171,10 +181,6 @@ def find(docs: DataFrame, text_column: str = "text", window: int = WINDOW, thres
             ),
         ))),
     )
-    columns = [*others, "pii_text", "pii_base"]
-    clean = found.filter(F.size("pii_base") == 0).withColumn("pii_spans", F.col("pii_base"))
-    out = clean.select(*(F.col(f"`{c}`") for c in columns), "pii_spans").unionByName(marked.select(*(F.col(f"`{c}`") for c in columns), "pii_spans"))
-    return out if keep_text else out.drop("pii_text")
 
 
 def described(spans: Column) -> Column:

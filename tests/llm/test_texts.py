@@ -205,6 +205,25 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[3].endswith("left") and "Quentin" not in clean[3] and "@" not in clean[3] and "[WORD], [EMAIL]" in clean[3] and clean[399] == rows[399][1]
 
 
+def test_terms_are_marked_in_rows_without_the_entity(spark):
+    draw = random.Random(1)
+    rows = []
+    for k in range(400):
+        text = " ".join(draw.choices([f"w{j}" for j in range(60)], k=30))
+        if k < 12:
+            text += f" {draw.choice(text.split())} {draw.choice(text.split())} Quentin, kq@mail.example {draw.choice(text.split())}"
+        elif k in (100, 101, 102):  # the third also holds another entity
+            text += " and (QUENTIN) left" + " ab@c.de" * (k == 102)
+        rows.append((k, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for k, text in rows:
+        terms = [m.start() for m in re.finditer("Quentin", text, re.I)]
+        assert [int(s.split(":")[1]) for s in got[k].spans.split(",") if s.startswith("term")] == terms and got[k].n_terms == len(terms)
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert clean[100].endswith(" and ([WORD]) left") and clean[102].endswith(" left [EMAIL]") and clean[103] == rows[103][1]
+
+
 def test_sanitised_texts_keep_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, None, 0), (1, "", 0), (None, "x 1.2.3.4 y a@b.cd", 1), (2, "+49 30 1234567x5555 5555 5555 4444", 2)], "doc_id long, text string, pii_base int")
     got = sorted(pii.sanitize(docs).collect(), key=str)
