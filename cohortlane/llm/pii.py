@@ -5,9 +5,11 @@ A term t (a word) reveals an entity e by pointwise mutual information relative t
 
     disclosure(t, e) = log2(p(e|t) / p(e)) / -log2 p(e) = 1 - log2(1 / p(e|t)) / -log2 p(e)
 
-with p(e|t) = occurrences of t within ``WINDOW`` code points of an e on its line / all occurrences of t, and p(e) the
-share of all words that stand in such windows. Terms at or above ``THRESHOLD`` seen in at least ``CONTEXTS`` different
-contexts (so copies of one passage count once) become spans in every document, also in those without the entity.
+with p(e|t) = occurrences of t in paragraphs that hold e / all occurrences of t, and p(e) the share of all words that
+stand in such paragraphs, whole words outside base spans throughout. Terms at or above ``THRESHOLD`` seen in at least
+``CONTEXTS`` different contexts become spans in every document, also in those without the entity. The context of a term
+on the entity's line is the ``WINDOW`` words around the entity, that of a term on another line is a min-hash of the
+document, so copies of one line or document count once, near copies mostly.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-WINDOW = 48
+WINDOW = 8
 THRESHOLD = 0.9
 CONTEXTS = 3
 KINDS = ("email", "ip", "card", "phone")
@@ -103,34 +105,80 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, contexts: int = CONTEXTS) -> DataFrame:
-    """(entity, term, disclosure) over the corpus: ``found`` has text and base spans, ``texts`` all texts."""
-    span = F.col("span")
-    before = F.substring_index(F.expr(f"substring(text, greatest(span.start - {window}, 0) + 1, span.start - greatest(span.start - {window}, 0))"), "\n", -1)
-    after = F.substring_index(F.expr(f"substring(text, span.end + 1, {window})"), "\n", 1)
-    around = (
-        found.select("text", F.explode("spans").alias("span"))
-        .select(_entity(span).alias("entity"), F.concat_ws(" ", before, after).alias("context"))
-        # a word cut by the window's edge is another word; it is too rare to be supported
-        .select("entity", F.xxhash64("context").alias("context"), F.explode(_words(F.col("context"))).alias("term"))
+_MARK = "\x00"  # begins the word that stands for an entity
+_PARAGRAPH = r"\n[ \t\r\x0b\x0c]*\n"
+
+
+def _with_marks(text: Column, spans: str) -> Column:
+    """``text`` with each base span replaced by one word that names its entity."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.concat(state["out"], F.translate(gap, _MARK, "\x01"), F.lit(" " + _MARK), F.hex(_entity(span)), F.lit(" ")).alias("out"),
+        )
+
+    rest = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.translate(F.substring(text, s["at"] + 1, F.length(text)), _MARK, "\x01")))
+    return F.when(F.size(spans) == 0, F.translate(text, _MARK, "\x01")).otherwise(rest)
+
+
+def _sketch(words: Column) -> Column:
+    """The least hash of three words that follow one another: equal for copies, mostly for near copies."""
+    start = F.struct(F.lit("").alias("a"), F.lit("").alias("b"), F.lit((1 << 63) - 1).alias("least"))
+
+    def step(state: Column, word: Column) -> Column:
+        return F.struct(state["b"].alias("a"), word.alias("b"), F.least(state["least"], F.xxhash64(state["a"], state["b"], word)).alias("least"))
+
+    return F.aggregate(words, start, step, lambda s: s["least"])
+
+
+def disclosing_terms(found: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, contexts: int = CONTEXTS) -> DataFrame:
+    """(entity, term, disclosure) over the corpus: ``found`` has text and base spans of all rows."""
+
+    def words(text: Column) -> Column:
+        return F.filter(_words(text), lambda w: w != "")
+
+    def around(w: Column, i: Column) -> Column:
+        near = F.xxhash64(F.array_join(F.slice("words", F.greatest(i + 1 - window, F.lit(1)), 2 * window + 1), " "))
+        return F.struct(w.alias("entity"), F.when(w.startswith(_MARK), near).alias("key"))
+
+    marked = found.select(_with_marks(F.col("text"), "spans").alias("text"), (F.size("spans") > 0).alias("hit"))
+    parts = (
+        marked.filter("hit").select(_sketch(words(F.col("text"))).alias("whole"), F.explode(F.split("text", _PARAGRAPH)).alias("part"))
+        .filter(F.col("part").contains(_MARK)).withColumn("part_id", F.monotonically_increasing_id())
+    )
+    lines = shared.stored(parts.select("part_id", "whole", F.explode(F.split("part", "\n")).alias("line")).select("part_id", "whole", words(F.col("line")).alias("words")))
+    lines = lines.withColumn("marks", F.filter(F.transform("words", around), lambda m: m["key"].isNotNull()))
+    # an entity with fewer keys in all has no term of enough contexts
+    marks = lines.select("part_id", "whole", F.explode("marks").alias("mark")).select("part_id", "mark.entity", F.explode(F.array("mark.key", "whole")).alias("key"))
+    supported = shared.stored(
+        marks.groupBy("entity", "key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("keys")).filter(F.col("keys") >= contexts).select("entity")
+    )
+    held = shared.stored(marks.select("part_id", "entity").distinct().join(supported, "entity"))
+    lengths = lines.groupBy("part_id").agg(F.sum(F.size("words") - F.size("marks")).alias("n_words"))
+    sizes = held.join(lengths, "part_id").groupBy("entity").agg(F.sum("n_words").alias("near"))
+    own = F.array_min(F.transform(F.filter("marks", lambda m: m["entity"] == F.col("entity")), lambda m: m["key"]))
+    candidates = (
+        lines.join(held.groupBy("part_id").agg(F.collect_list("entity").alias("entities")), "part_id")
+        .select("whole", "words", "marks", F.explode("entities").alias("entity"))
+        .select("entity", F.coalesce(own, "whole").alias("context"), F.explode("words").alias("term"))
         .filter(F.col("term").rlike(r"^[\p{L}\p{N}'_-]{2,}$"))
         .groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
         .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
+        .filter(F.col("contexts") >= contexts)
     )
-    around = shared.stored(around)
-    sizes = around.groupBy("entity").agg(F.sum("together").alias("near"))
-    candidates = shared.stored(around.filter(F.col("contexts") >= contexts))
-    counts = (
-        texts.select(F.explode(_words(F.col("text"))).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
-        .join(candidates.select("term").distinct(), "term", "left_semi")
-    )
-    total = texts.agg(F.sum(F.size(_words(F.col("text")))).alias("total"))  # one row
+    candidates = shared.stored(candidates)
+    every = marked.select(F.explode(_words(F.col("text"))).alias("term")).filter((F.col("term") != "") & ~F.col("term").startswith(_MARK))
+    counts = shared.stored(every.groupBy("term").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
     information = -F.log2(F.col("near") / F.greatest(F.col("total"), F.col("near") + 1))
-    share = F.least(F.lit(1.0), F.col("together") / F.col("n"))
+    share = F.col("together") / F.col("n")
     return (
         candidates.join(counts, "term").join(sizes, "entity").join(F.broadcast(total))
-        .withColumn("disclosure", 1 + F.log2(share) / information)
-        .filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+        .withColumn("disclosure", 1 + F.log2(share) / information).filter(F.col("disclosure") >= threshold)
+        .select(F.decode(F.unhex(F.substring("entity", 2, 1 << 30)), "UTF-8").alias("entity"), "term", "disclosure")
     )
 
 
@@ -146,10 +194,7 @@ def find(docs: DataFrame, text_column: str = "text", window: int = WINDOW, thres
     text = F.coalesce(F.col(text_column), F.lit(""))
     found = docs.select(*(F.col(f"`{c}`") for c in others), text.alias("pii_text"), _base(text).alias("pii_base"))
     found = shared.stored(found.withColumn("pii_row", F.monotonically_increasing_id()))  # a stored row number stays
-    hit = found.filter(F.size("pii_base") > 0)
-    terms = disclosing_terms(
-        hit.select(F.col("pii_text").alias("text"), F.col("pii_base").alias("spans")), found.select(F.col("pii_text").alias("text")), window, threshold, contexts
-    )
+    terms = disclosing_terms(found.select(F.col("pii_text").alias("text"), F.col("pii_base").alias("spans")), window, threshold, contexts)
     words = shared.stored(terms.select("term").distinct())
     marked = found.withColumn("pii_spans", F.col("pii_base")) if words.isEmpty() else _marked(found, words)
     columns = [*others, *(["pii_text"] if keep_text else []), "pii_base", "pii_spans"]

@@ -224,6 +224,25 @@ def test_terms_are_marked_in_rows_without_the_entity(spark):
     assert clean[100].endswith(" and ([WORD]) left") and clean[102].endswith(" left [EMAIL]") and clean[103] == rows[103][1]
 
 
+def test_terms_on_other_lines_of_the_paragraph(spark):
+    draw = random.Random(2)
+    filler = [f"w{j}" for j in range(60)]
+    card = " ".join(filler[:20])  # more than a window of 48 code points
+    rows = []
+    for k in range(400):
+        text = " ".join(draw.choices(filler, k=30))
+        if k < 8:  # a name above the address and one below; the paragraph before does not hold it
+            text += f" Elsewhere\n \nregards\nQuentin\n{card}\nkq@mail.example\nOrlando"
+        elif k < 16:  # copies of one document
+            text = f"{card}\nWendell\nww@mail.example"
+        rows.append((k, text + " regards"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for k, text in rows:
+        terms = [m.start() for m in re.finditer("Quentin|Orlando", text)]
+        assert [int(s.split(":")[1]) for s in got[k].spans.split(",") if s.startswith("term")] == terms
+
+
 def test_sanitised_texts_keep_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, None, 0), (1, "", 0), (None, "x 1.2.3.4 y a@b.cd", 1), (2, "+49 30 1234567x5555 5555 5555 4444", 2)], "doc_id long, text string, pii_base int")
     got = sorted(pii.sanitize(docs).collect(), key=str)
