@@ -14,7 +14,9 @@ BLOCKS = frozenset(
     "html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption form fieldset legend address details summary dialog hr center menu hgroup search".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select object canvas audio video button".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select canvas audio video button".split())
+TO_END = frozenset("script style title textarea".split())  # hide the rest of the page where they are not closed
+NESTED = frozenset("svg template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -22,7 +24,8 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in TO_END}
+_BOTH = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in RAW - TO_END}
 
 
 @dataclass
@@ -69,18 +72,34 @@ def _is_block(name: str) -> bool:
     return name in BLOCKS or "-" in name
 
 
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Start of each element ``name`` that has an end tag of its own, and where it ends."""
+    ends: dict[int, int] = {}
+    open_at: list[int] = []
+    for found in _BOTH[name].finditer(page):
+        if found[1]:
+            if open_at:
+                ends[open_at.pop()] = found.end()
+        elif not found[0].endswith("/>"):
+            if name not in NESTED:
+                open_at.clear()
+            open_at.append(found.start())
+    return ends
+
+
 _KINDS = {"#text": 1, "p": 2, "li": 3, "h1": 4, "h2": 4, "h3": 4, "h4": 4, "h5": 4, "h6": 4}
 KINDS = 5
 
 
 def tree_of(page: str | None) -> Tree:
-    """The tree of a page; head, scripts, styles, controls and comments have no part in it."""
+    """The tree of a page; head, scripts, styles, closed controls and comments have no part in it."""
     page = page or ""
     tree = Tree()
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; inline ones have their block's node
     run: list[str] = []
     linked = 0
     runs: dict[int, int] = {}
+    closed: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -139,8 +158,13 @@ def tree_of(page: str | None) -> Tree:
             continue
         if name in RAW or name == "head":
             if name in RAW and not attributes.endswith("/"):
-                stop = _ENDS[name].search(page, at)
-                at = stop.end() if stop else len(page)
+                if name in TO_END:
+                    stop = _ENDS[name].search(page, at)
+                    at = stop.end() if stop else len(page)
+                else:
+                    if name not in closed:
+                        closed[name] = _closed(page, name)
+                    at = closed[name].get(found.start(), at)  # without an end tag only the tag is skipped
             run.append(" ")
             continue
         if name in VOID:

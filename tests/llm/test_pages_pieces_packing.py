@@ -39,6 +39,21 @@ def test_main_text_of_pages(spark):
     assert empty.count() == 0
 
 
+def test_elements_without_an_end_tag_hide_nothing():
+    def texts(page):
+        return [t for t in dom.tree_of(page).text if t is not None]
+
+    for name in ("button", "object", "math", "svg", "video", "audio", "canvas", "select", "noscript", "template"):
+        assert texts(f"<p>a</p><{name} x=1><p>b</p><div>c</div>") == ["a", "b", "c"]
+        assert texts(f"<{name}><p>b</p><{name} x>{'' if name in ('object', 'math') else 'out'}</{name}><p>c</p>") == ["b", "c"]  # the end tag is another's
+    for name in ("button", "svg", "select", "noscript"):
+        assert texts(f"<p>a<{name}>out</{name}> b</p>") == ["a b"]
+    assert texts("<p>a</p><svg><svg>x</svg>y</svg><svg/><p>b</p>") == ["a", "b"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=d>text</object>.</p>") == ["Let x=1 and text."]
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a</p><{name}>b<p>c</p>") == ["a"]
+
+
 def test_layouts_not_trained_on():
     draw = random.Random(77)
     blocks = [[f"Sentence {j} of article {k}, which goes on for some words, and ends." for j in range(5)] for k in range(80)]
