@@ -22,13 +22,18 @@ from . import shared
 
 CAPACITY = 2048
 END_ID = 1
+SPECIAL = {"<|endoftext|>": 50256}  # the added token of byte_bpe_50k.json, which its rank file does not hold
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple, object] = {}
 
 
-def encoder(path: str):
-    """The function text -> ids of a vocabulary file: ``.tiktoken`` ranks, or a ``tokenizers`` JSON file."""
-    if path not in _encoders:
+def encoder(path: str, special: dict[str, int] | None = None):
+    """The function text -> ids of a vocabulary file: ``.tiktoken`` ranks, or a ``tokenizers`` JSON file.
+
+    Texts of ``special`` tokens become their ids, which a JSON file must name itself; without them they are ordinary text.
+    """
+    key = (path, *sorted((special or {}).items()))
+    if key not in _encoders:
         if path.endswith(".tiktoken"):
             import base64
 
@@ -37,15 +42,19 @@ def encoder(path: str):
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = made.encode_ordinary
+            made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special or {})
+            _encoders[key] = lambda text: (
+                made.encode(text, allowed_special="all") if any(t in text for t in special or ()) else made.encode_ordinary(text)
+            )
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            _encoders[path] = lambda text: model.encode(text, add_special_tokens=False).ids
-    return _encoders[path]
+            if any(model.token_to_id(t) != k for t, k in (special or {}).items()):
+                raise ValueError(f"{path} has other special tokens than {special}")
+            model.encode_special_tokens = not special
+            _encoders[key] = lambda text: model.encode(text, add_special_tokens=False).ids
+    return _encoders[key]
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -103,11 +112,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long"
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, special: dict[str, int] | None):
     names = [x.split()[0] for x in _PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, special)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -153,15 +162,16 @@ def _placed(rows, sequences: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
+         special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``vocabulary`` is the path of a vocabulary file on every executor. A document is its ids and ``end_id``; a null
+    ``vocabulary`` is the path of a vocabulary file on every executor; the texts of ``special`` tokens become their ids. A document is its ids and ``end_id``; a null
     or empty text is ``end_id`` alone. Rows with equal or null ids are separate documents. Other columns are not read.
     An empty table gives no pieces. Places come from ranks in a stored table, so repeated tasks give the same result.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    pieces = shared.stored(shared.smaller_batches(source).mapInArrow(_pieces(vocabulary, capacity, end_id), _PIECE))
+    pieces = shared.stored(shared.smaller_batches(source).mapInArrow(_pieces(vocabulary, capacity, end_id, special), _PIECE))
     counts = shared.stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     rows, sequences = plan({length: n for length, n in histogram.items() if length < capacity}, capacity)

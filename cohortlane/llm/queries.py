@@ -88,7 +88,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # the same vocabulary as byte_bpe_50k.json in the form of ranks: equal ids, in less than half the time
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=packing.SPECIAL)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

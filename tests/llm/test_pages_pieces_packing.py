@@ -125,6 +125,20 @@ def test_pieces_have_the_best_score_and_decode(spark):
         pieces.encode(coded, MODEL)
 
 
+def test_packing_has_the_ids_of_the_unchanged_tokenizer(spark, tmp_path):
+    plain = Tokenizer.from_file(JSON)
+    texts = [*TEXTS, "<|endoftext|>", "a <|endoftext|><|endoftext|>\n b <|endoftext", "<|ENDOFTEXT|>"]
+    for path in (RANKS, JSON):
+        coded = packing.encoder(path, packing.SPECIAL)
+        assert all(list(coded(t or "")) == plain.encode(t or "", add_special_tokens=False).ids for t in texts)
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.start): (r.ids_crc32, r.doc_tokens) for r in queries.op7_packing(spark, str(tmp_path)).collect()}
+    for doc, text in rows:
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert all(got[doc, k] == (zlib.crc32(ids[k : k + 2048].tobytes()), len(ids)) for k in range(0, len(ids), 2048))
+
+
 def test_packing_loses_no_id_and_pads_little(spark):
     draw = random.Random(0)
     rows = list(enumerate(TEXTS + [" ".join(draw.choices(["one", "zwei", "trois", "cuatro"], k=draw.randint(1, 900))) for _ in range(150)])) + [(None, "a"), (3, "b"), (3, "b")]
