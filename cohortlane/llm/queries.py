@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of all documents."""
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("n_links")
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).drop("n_checked_links")
 
 
 def _days(days) -> F.Column:

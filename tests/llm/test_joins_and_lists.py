@@ -134,3 +134,9 @@ def test_empty_lists_and_captures(spark, empty):
     captures = spark.createDataFrame([(1, "http://a.b/", dt.datetime(2024, 1, 1))][: empty == "entries"], "page_id long, url string, fetched timestamp")
     entries = spark.createDataFrame([("l", "block", "host", "a.b", "add", dt.datetime(2023, 1, 1))][: empty == "captures"], "list_name string, effect string, kind string, key string, action string, at timestamp")
     assert [r.verdict for r in url_filters.judge(captures, entries).collect()] == ["none"] * (empty == "entries")
+
+
+def test_links_are_named_as_checked_ones(spark):
+    """Links within a component are not all verified, so their number is no degree."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x y")], "doc_id long, text string")
+    assert ngram_join.jaccard_components(docs).columns == ["doc_id", "n_shingles", "component_id", "class_id", "n_checked_links"]
