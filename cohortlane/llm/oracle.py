@@ -65,4 +65,62 @@ select p.page_id, p.url, p.day, coalesce(n_block, 0) as n_block, coalesce(n_allo
 from pages_read p left join found f on f.page_id = p.page_id and f.url is not distinct from p.url
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_url_filters": _OP2}
+_OP12 = r"""
+with recursive
+read as (
+  select doc_id, lang, text,
+         list_transform([cast(doc_id as varchar), source, lang, cast(n_chars as varchar)], lambda v: case when v is null then '-' else strlen(v) || ':' || v end) as head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+         -- CRC-32 of the digits, a bit at a time
+         xor(list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, 4294967295), 4294967295) as crc
+  from documents
+),
+hashed as (
+  select doc_id, lang, sha256(array_to_string(head, '') || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+         case when crc % 3 = 0 then sha256(array_to_string(head, '') || case when text is null then '-' else strlen(low) || ':' || low end) end as tampered
+  from read
+),
+langs as (select lang, row_number() over (order by lang nulls first) - 1 as l from (select distinct lang from documents)),
+leaves as (
+  select doc_id, l, leaf, coalesce(tampered, leaf) as start, row_number() over (partition by l order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by l) as n
+  from hashed join langs on hashed.lang is not distinct from langs.lang
+),
+up as (
+  select 0 as lvl, l, pos, leaf as h, n from leaves
+  union all
+  select lvl + 1, l, pos // 8, sha256(string_agg(h, '' order by pos)), (n + 7) // 8 from up where n > 1 group by lvl, l, pos // 8, n
+),
+subroots as (select l, h as subroot from up where n = 1),
+top as (
+  select 0 as lvl, l as pos, subroot as h, (select count(*) from langs) as n from subroots
+  union all
+  select lvl + 1, pos // 8, sha256(string_agg(h, '' order by pos)), (n + 7) // 8 from top where n > 1 group by lvl, pos // 8, n
+),
+sides as (
+  select lvl, l, pos, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as a,
+         coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as b
+  from up where n > 1 window w as (partition by lvl, l, pos // 8 order by pos)
+),
+top_sides as (
+  select lvl, pos, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as a,
+         coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as b
+  from top where n > 1 window w as (partition by lvl, pos // 8 order by pos)
+),
+folded as (
+  select l, pos as leaf_pos, 0 as lvl, pos, start as h, '' as seen from leaves
+  union all
+  select f.l, leaf_pos, f.lvl + 1, f.pos // 8, sha256(a || h || b), seen || a || b from folded f join sides s on s.l = f.l and s.lvl = f.lvl and s.pos = f.pos
+),
+in_lang as (select l, leaf_pos, arg_max(h, lvl) as h, arg_max(seen, lvl) as seen from folded group by 1, 2),
+to_root as (
+  select l, leaf_pos, 0 as lvl, l as pos, h, seen from in_lang
+  union all
+  select f.l, leaf_pos, f.lvl + 1, f.pos // 8, sha256(a || h || b), seen || a || b from to_root f join top_sides s on s.lvl = f.lvl and s.pos = f.pos
+),
+ended as (select l, leaf_pos, arg_max(h, lvl) as folded_root, sha256(arg_max(seen, lvl)) as proof_sha256 from to_root group by 1, 2)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
+from leaves join ended on ended.l = leaves.l and leaf_pos = leaves.pos join subroots on subroots.l = leaves.l cross join (select h as root from top where n = 1)
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_url_filters": _OP2, "op12_merkle_manifest": _OP12}

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -95,6 +95,42 @@ def _release_all() -> None:
             release(spark)
 
 
+# --- running totals of groups of any size -------------------------------------------------------------------------
+
+
+def running(df: DataFrame, group: list[str], order: list[str], rank: str, xors: dict[str, str] | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the 0-based place of each row in its group, and running values up to and with the row, without a window over a group.
+
+    ``xors`` and ``sums`` map a new column to the integer column whose running exclusive or, or sum, it holds. Rows are dealt
+    by ranges of (group, order), so a group of any size is spread over tasks; within a range windows count, and a
+    range gets what its first group had before it. Rows that tie in ``order`` take their places in any, but one, order.
+    ``group`` columns must not be null; they should be short, as those that begin ranges are broadcast, one row per range at most.
+    """
+    xors, sums = xors or {}, sums or {}
+    # rows that tie in everything are split too
+    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = stored(keyed.repartitionByRange(*group, *order, "_tie").withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("_range", *group).orderBy(*order, "_tie")
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumns(
+        {rank: F.row_number().over(within).cast("long") - 1}
+        | {new: F.bit_xor(old).over(upto) for new, old in xors.items()} | {new: F.sum(old).over(upto) for new, old in sums.items()}
+    )
+    parts = ranged.groupBy("_range", *group).agg(
+        F.count("*").alias("_n"), *(F.bit_xor(old).alias(f"_x_{new}") for new, old in xors.items()), *(F.sum(old).alias(f"_s_{new}") for new, old in sums.items())
+    )
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range of the group
+    bases = parts.select(
+        "_range", *group, F.sum("_n").over(ahead).alias("_b"),
+        *(F.bit_xor(f"_x_{new}").over(ahead).alias(f"_b_{new}") for new in xors), *(F.sum(f"_s_{new}").over(ahead).alias(f"_b_{new}") for new in sums),
+    ).filter("_b > 0")  # only the first group of a range goes on from an earlier one
+    out = rows.join(F.broadcast(bases), ["_range", *group], "left")
+    zero = F.lit(0).cast("long")
+    added: dict[str, Column] = {rank: F.col(rank) + F.coalesce("_b", zero)}
+    added |= {new: F.col(new).bitwiseXOR(F.coalesce(f"_b_{new}", zero)) for new in xors} | {new: F.col(new) + F.coalesce(f"_b_{new}", zero) for new in sums}
+    return out.withColumns(added).select(*df.columns, *added)
+
+
 # --- bytes and words of a batch --------------------------------------------------------------------------------
 
 BLOCK_BYTES = 1 << 20
