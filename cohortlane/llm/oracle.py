@@ -123,4 +123,42 @@ select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 from leaves join ended on ended.l = leaves.l and leaf_pos = leaves.pos join subroots on subroots.l = leaves.l cross join (select h as root from top where n = 1)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_url_filters": _OP2, "op12_merkle_manifest": _OP12}
+_OP13 = r"""
+with
+told as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+turns as (
+  select conv_id, length(text) as size, sha256(strlen(role) || ':' || role || text) as t,
+         row_number() over (partition by conv_id order by turn nulls first, substr(sha256(strlen(role) || ':' || role || text), 1, 30)) as j
+  from told
+),
+convs as (
+  select conv_id, conv_id - conv_id % 100 as base,
+         xor(list_reduce(flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, 4294967295), 4294967295) % 6 as h
+  from (select distinct conv_id from told)
+),
+joined as (
+  select c.conv_id, 0 as part, j, t, size from convs c join turns s on s.conv_id = c.base and s.j <= c.h
+  union all select c.conv_id, 1, j, t, size from convs c join turns s on s.conv_id = c.conv_id and s.j > c.h
+),
+whole as (
+  select c.conv_id, coalesce(list(t order by part, j) filter (t is not null), []) as seq, coalesce(list(size order by part, j) filter (t is not null), []) as sizes
+  from convs c left join joined r on r.conv_id = c.conv_id group by 1
+),
+steps as (select conv_id, seq, sizes, unnest(range(0, len(seq) + 1)) as depth from whole),
+nodes as (
+  select seq[1:depth] as key, depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * coalesce(max(sizes[depth]), 0) as saved,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(seq) = depth), '')) as ends_sha256
+  from steps group by 1, 2
+),
+children as (select key[1:depth - 1] as key, count(*) as n_children from nodes where depth > 0 group by 1),
+up as (select n.key[1:d] as key, d, n.saved, c.key is null as childless from (select *, unnest(range(0, depth + 1)) as d from nodes) n left join children c on c.key = n.key),
+below as (select key, count(*) filter (childless) as n_leaves, sum(saved) as saved_tokens from up group by 1)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+from nodes n join below b on b.key = n.key left join children c on c.key = n.key left join nodes p on n.depth > 0 and p.key = n.key[1:n.depth - 1]
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": _OP1, "op2_url_filters": _OP2, "op12_merkle_manifest": _OP12,
+    "op13_conversation_trie": _OP13,
+}
