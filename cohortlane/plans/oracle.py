@@ -5,7 +5,7 @@ from __future__ import annotations
 ORACLES: dict[str, str] = {}
 
 SEED = 20260815
-REPLICATES = 50
+REPLICATES = 1000
 
 V_SAMPLE = """
 v_sample AS (

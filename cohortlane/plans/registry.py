@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEED = 20260815
-REPLICATES = 50
+REPLICATES = 1000
 BY_TASK = ["task"]
 BY_SITE = ["task", "site_id"]
 SCOPE = {"sites": ("A", "B"), "year_min": 1995, "year_max": 2001}
