@@ -135,13 +135,19 @@ def release_checks(samples: DataFrame, labels: DataFrame, tasks: DataFrame, spli
     return all_checks(checks)
 
 
-def development_contract(development: DataFrame, folds: DataFrame, evaluation: DataFrame) -> DataFrame:
+def development_contract(development: DataFrame, folds: DataFrame, evaluation: DataFrame, *, disjoint_clusters: bool | None = None) -> DataFrame:
     """Leakage contract per task: unique development rows, folds inside development, disjoint splits,
     each validation sample in one fold, both classes everywhere, at least two folds.
 
-    ``folds`` is the long table ``(task, fold_index, split, sample_id, y)``. If all three tables have ``cluster_id``, no usable
-    cluster of a task may stand on both sides either.
+    ``folds`` is the long table ``(task, fold_index, split, sample_id, y)``. With ``disjoint_clusters`` no usable cluster of a
+    task may stand on both sides either: development and evaluation must have ``cluster_id``, and folds without it take it from
+    development. With False clusters are not looked at; by default they are if all three tables have the column.
     """
+    if disjoint_clusters:
+        require_columns(development, ["cluster_id"], "development")
+        require_columns(evaluation, ["cluster_id"], "evaluation")
+        if "cluster_id" not in folds.columns:
+            folds = folds.join(development.select("task", "sample_id", "cluster_id").dropDuplicates(["task", "sample_id"]), ["task", "sample_id"], "left")
     key = F.concat_ws("|", "task", F.col("sample_id").cast("string"))
     dev = development.withColumn("_id", key)
     fold = folds.withColumn("_id", key)
@@ -162,7 +168,7 @@ def development_contract(development: DataFrame, folds: DataFrame, evaluation: D
         .where((F.col("t") > 0) & (F.col("v") > 0))
     )
     clusters = []
-    if all("cluster_id" in t.columns for t in (development, folds, evaluation)):
+    if disjoint_clusters is not False and all("cluster_id" in t.columns for t in (development, folds, evaluation)):
         unit, cell = F.concat_ws("|", "task", "cluster_id"), F.concat_ws("|", "task", F.col("fold_index").cast("string"), "cluster_id")
         known = [t.where(usable("cluster_id")).withColumn("_cluster", unit) for t in (dev, fold, test)]
         cells = known[1].withColumn("_cluster", cell)

@@ -698,3 +698,68 @@ g AS (SELECT *, slope > 0 AS ok FROM fit), s AS (SELECT t.task, CASE WHEN ok THE
 SELECT s.task, count(*) AS n, count(c) AS calibrated_n, round(avg(c) + 1.3e-9, 6) AS mean_probability, round(any_value(slope) + 1.3e-9, 6) AS platt_slope,
   round(any_value(intercept) + 1.3e-9, 6) AS platt_intercept, CASE WHEN any_value(ok) THEN 'ok' ELSE 'failed' END AS calibration_status,
   CASE WHEN any_value(ok) THEN '' ELSE 'nonpositive_platt_slope' END AS calibration_failure_reason FROM s JOIN g ON s.task = g.task GROUP BY s.task"""
+
+# --- plan of three protocol families -------------------------------------------------------------
+
+_REGIMES = ("pre_marker_history_only", "current_workflow_only", "pooled_pre_and_current")
+_das, _dar = annual("n_development", "development_positive_n", "development_negative_n", 100, 20)
+_pas, _par = annual("n_primary", "primary_positive_n", "primary_negative_n", 100, 20)
+_tgs, _tgr = graded("n_test", "test_positive_n", "test_negative_n", 100, 20)
+_contract_reason = """CASE WHEN n_development = 0 THEN 'no_samples' WHEN least(development_positive_n, development_negative_n) = 0 THEN 'single_class'
+  WHEN n_development < 100 THEN 'n<100' WHEN least(development_positive_n, development_negative_n) < 20 THEN 'min_class<20' ELSE '' END"""
+_tally = lambda p: f"count(*) AS n_{p}, count_if(y = 1)::BIGINT AS {p}_positive_n, count_if(y = 0)::BIGINT AS {p}_negative_n"
+_fold_of = "SELECT '{cell}' AS cell, task, fold_index, sample_id, cluster_id, y, split FROM {rows}"
+ORACLES["sensitivity_plan"] = f"""{BASE}, {YEAR_FOLDS},
+tasks AS (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS task),
+years AS (SELECT unnest(range(1996, 2003)) AS ty),
+spine AS (
+  SELECT 'annual' AS family, task, ty::VARCHAR AS cell, c.cohort_id, c.is_primary, 'development_and_primary' AS gate FROM tasks, years, (VALUES ('entity_disjoint', true), ('all_samples', false)) c(cohort_id, is_primary)
+  UNION ALL SELECT 'training_history', task, r.cell, c.cohort_id, c.is_primary, 'development' FROM tasks, (SELECT unnest({list(_REGIMES)}) AS cell) r, (VALUES ('common_entity_disjoint', true), ('common_all_samples', false)) c(cohort_id, is_primary)
+  UNION ALL SELECT 'cross_site', task, 'source', c.cohort_id, c.is_primary, 'development' FROM tasks,
+    (VALUES ('source_entity_disjoint', true), ('source_all_samples', false), ('target_primary', false), ('target_full_period', false)) c(cohort_id, is_primary)),
+v_use AS (SELECT * FROM v_sample WHERE {usable('cluster_id')}),
+v_pre AS (SELECT * FROM v_use WHERE d < DATE '1998-01-01'), v_cur AS (SELECT * FROM v_use WHERE d BETWEEN DATE '1998-02-01' AND DATE '1999-12-31'),
+v_src AS (SELECT * FROM v_dev WHERE site_id = 'A'), v_late AS (SELECT * FROM v_test WHERE {usable('cluster_id')}),
+{month_folds('v_pre', 'pf')}, {month_folds('v_cur', 'hf')}, {month_folds('v_src', 'sf')},
+r AS ({_fold_of.format(cell=_REGIMES[0], rows='pf_rows')} UNION ALL {_fold_of.format(cell=_REGIMES[1], rows='hf_rows')} UNION ALL {_fold_of.format(cell=_REGIMES[2], rows='hf_rows')}
+  UNION ALL SELECT '{_REGIMES[2]}', p.task, f.fold_index, p.sample_id, p.cluster_id, p.y, 'train' FROM v_pre p JOIN (SELECT DISTINCT task, fold_index FROM hf_rows) f ON p.task = f.task
+  UNION ALL {_fold_of.format(cell='source', rows='sf_rows')}),
+seen AS (SELECT DISTINCT cell, task, fold_index, cluster_id FROM r WHERE split = 'train' AND cluster_id IS NOT NULL),
+kept AS (SELECT r.* FROM r WHERE split = 'validation' AND {usable('cluster_id')}
+  AND NOT EXISTS (SELECT 1 FROM seen x WHERE x.cell = r.cell AND x.task = r.task AND x.fold_index = r.fold_index AND x.cluster_id = r.cluster_id)),
+ft AS (SELECT cell, task, fold_index, count(*) AS n, least(count_if(y = 1), count_if(y = 0)) AS c FROM r WHERE split = 'train' GROUP BY ALL),
+fv AS (SELECT cell, task, fold_index, count(*) AS n, least(count_if(y = 1), count_if(y = 0)) AS c FROM kept GROUP BY ALL),
+valid AS (
+  SELECT CASE WHEN cell = 'source' THEN 'cross_site' ELSE 'training_history' END AS family, task, cell, count(*) AS valid_fold_n
+  FROM ft JOIN fv USING (cell, task, fold_index) WHERE ft.n >= 20 AND ft.c >= 10 AND fv.n >= 10 AND fv.c >= 5 GROUP BY ALL
+  UNION ALL SELECT 'annual', task, ty::VARCHAR, count(*) FROM yf_audit JOIN years ON validation_year < ty WHERE status = 'adequate' GROUP BY ALL),
+dev AS (
+  SELECT 'annual' AS family, task, ty::VARCHAR AS cell, cluster_id, y FROM v_sample JOIN years ON year < ty
+  UNION ALL SELECT 'training_history', task, '{_REGIMES[0]}', cluster_id, y FROM v_pre UNION ALL SELECT 'training_history', task, '{_REGIMES[1]}', cluster_id, y FROM v_cur
+  UNION ALL SELECT 'training_history', task, '{_REGIMES[2]}', cluster_id, y FROM v_pre UNION ALL SELECT 'training_history', task, '{_REGIMES[2]}', cluster_id, y FROM v_cur
+  UNION ALL SELECT 'cross_site', task, 'source', cluster_id, y FROM v_src),
+trained AS (SELECT DISTINCT task, cluster_id FROM dev WHERE family = 'training_history'),
+first AS (SELECT task, cluster_id, min(year) AS fy FROM v_use GROUP BY ALL),
+cells AS (SELECT DISTINCT task, cell FROM dev WHERE family = 'training_history'),
+test AS (
+  SELECT 'annual' AS family, task, year::VARCHAR AS cell, 'all_samples' AS cohort_id, y FROM v_sample WHERE year BETWEEN 1996 AND 2002
+  UNION ALL SELECT 'annual', s.task, s.year::VARCHAR, 'entity_disjoint', y FROM v_use s JOIN first f ON f.task = s.task AND f.cluster_id = s.cluster_id AND f.fy >= s.year WHERE s.year BETWEEN 1996 AND 2002
+  UNION ALL SELECT 'training_history', l.task, cell, 'common_all_samples', y FROM v_late l JOIN cells c ON c.task = l.task
+  UNION ALL SELECT 'training_history', l.task, cell, 'common_entity_disjoint', y FROM v_late l JOIN cells c ON c.task = l.task WHERE NOT EXISTS (SELECT 1 FROM trained t WHERE t.task = l.task AND t.cluster_id = l.cluster_id)
+  UNION ALL SELECT 'cross_site', task, 'source', 'source_all_samples', y FROM v_test WHERE site_id = 'A'
+  UNION ALL SELECT 'cross_site', task, 'source', 'source_entity_disjoint', y FROM v_late l WHERE site_id = 'A' AND NOT EXISTS (SELECT 1 FROM v_src x WHERE x.task = l.task AND x.cluster_id = l.cluster_id)
+  UNION ALL SELECT 'cross_site', task, 'source', 'target_primary', y FROM v_test WHERE site_id = 'B' UNION ALL SELECT 'cross_site', task, 'source', 'target_full_period', y FROM v_sample WHERE site_id = 'B'),
+dc AS (SELECT family, task, cell, {_tally('development')} FROM dev GROUP BY ALL),
+tc AS (SELECT family, task, cell, cohort_id, {_tally('test')} FROM test GROUP BY ALL),
+pc AS (SELECT family, task, cell, n_test AS n_primary, test_positive_n AS primary_positive_n, test_negative_n AS primary_negative_n FROM tc JOIN spine USING (family, task, cell, cohort_id) WHERE is_primary),
+j AS (SELECT * REPLACE (coalesce(n_development, 0) AS n_development, coalesce(development_positive_n, 0) AS development_positive_n, coalesce(development_negative_n, 0) AS development_negative_n,
+    coalesce(valid_fold_n, 0) AS valid_fold_n, coalesce(n_test, 0) AS n_test, coalesce(test_positive_n, 0) AS test_positive_n, coalesce(test_negative_n, 0) AS test_negative_n,
+    coalesce(n_primary, 0) AS n_primary, coalesce(primary_positive_n, 0) AS primary_positive_n, coalesce(primary_negative_n, 0) AS primary_negative_n)
+  FROM spine LEFT JOIN dc USING (family, task, cell) LEFT JOIN valid USING (family, task, cell) LEFT JOIN pc USING (family, task, cell) LEFT JOIN tc USING (family, task, cell, cohort_id)),
+k AS (SELECT *, gate = 'development_and_primary' AS strict, CASE WHEN gate = 'development' THEN CASE WHEN {_contract_reason} = '' THEN 'adequate' ELSE 'insufficient' END ELSE {_das} END AS development_status,
+    CASE WHEN gate = 'development' THEN {_contract_reason} ELSE {_dar} END AS dr, {_pas} AS ps, {_par} AS pr FROM j),
+g AS (SELECT *, development_status = 'adequate' AND valid_fold_n >= 2 AND (NOT strict OR ps = 'adequate') AS fits FROM k)
+SELECT family, task, cell, cohort_id, is_primary, gate, n_development, development_positive_n, development_negative_n, development_status, valid_fold_n, n_test, test_positive_n, test_negative_n,
+  {_tgs} AS support_status, fits, CASE WHEN fits AND least(test_positive_n, test_negative_n) > 0 THEN 'ok' ELSE 'insufficient' END AS status,
+  CASE WHEN fits THEN {_tgr} ELSE concat_ws(';', nullif(dr, ''), CASE WHEN strict THEN nullif(pr, '') END, CASE WHEN valid_fold_n < 2 THEN 'valid_folds<2' END) END AS insufficient_reason
+FROM g"""

@@ -19,6 +19,7 @@ from cohortlane.operators import joins as J
 from cohortlane.operators import labels as L
 from cohortlane.operators import metrics as M
 from cohortlane.operators import models as N
+from cohortlane.operators import run_plan as P
 from cohortlane.operators import sampling as Z
 from cohortlane.plans import views as V
 from cohortlane.plans.audit import collapsed_with_features, label_audit
@@ -672,7 +673,7 @@ def join_findings(spark, sf):
 def union_of_parts(spark, sf):
     """Rows of two sources with different columns, one row per key."""
     base = V.samples(spark, sf)
-    return J.union_parts([base.where("site_id = 'A'").select("task", "sample_id", "raw"), base.where("site_id = 'B'").select("task", "sample_id", "alt")], ["task", "sample_id"])
+    return K.all_checks([base.where("site_id = 'A'").select("task", "sample_id", "raw"), base.where("site_id = 'B'").select("task", "sample_id", "alt")], ["task", "sample_id"])
 
 
 @query
@@ -789,7 +790,6 @@ def platt_calibration(spark, sf):
 def embedding_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Development, folds, test and features of the embedding table: block f validates after blocks < f."""
     rows = V.embeddings(spark, sf)
-    features = N.as_vectors(rows.select("sample_id", "values"))
     base = rows.drop("values")
     development = base.where(F.col("block") < 4)
     fold = F.explode(F.array(*[F.lit(f) for f in (1, 2, 3)])).alias("fold_index")
@@ -797,73 +797,81 @@ def embedding_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
         "split", F.when(F.col("block") < F.col("fold_index"), "train").otherwise("validation")
     ).drop("block")
     test = base.where(F.col("block") == 4).withColumn("cohort_id", F.lit("test"))
-    return development.drop("block"), folds, test.drop("block"), features
+    return development.drop("block"), folds, test.drop("block"), rows.select("sample_id", "values")
 
 
 @query
 def logistic_tuned(spark, sf):
     """Scores of all logistic candidates on all folds."""
-    _, folds, _, features = embedding_tables(spark, sf)
-    rows = cut_lineage(N.join_features(folds, features))
-    learner = N.LogisticLearner(max_iter=25)
-    return N.tune(rows, learner, learner.grid(), SEED)[0]
+    _, folds, _, values = embedding_tables(spark, sf)
+    learner = N.LogisticLearner()
+    return N.tune(folds, N.as_sparse(values), learner, learner.grid(), SEED)[0]
 
 
 @query
 def logistic_protocol(spark, sf):
     """Tune, out-of-fold scores, Platt, thresholds, refit and the metric bundle of the test cohort."""
-    development, folds, test, features = embedding_tables(spark, sf)
-    run = N.run_protocol(development, folds, test, features, N.LogisticLearner(max_iter=25), SEED, policy="roc",
-                         grid=[{"C": c, "class_weight": w} for c in (0.01, 1.0) for w in (None, "balanced")])
+    development, folds, test, values = embedding_tables(spark, sf)
+    run = N.run_protocol(development, folds, test, N.as_sparse(values), N.LogisticLearner(), SEED, policy="roc")
     return N.evaluate_run(run, calibration=True)
 
 
 @query
 def logistic_intervals(spark, sf):
-    """Bootstrap intervals of fixed-parameter predictions, all test rows and entity-disjoint rows."""
-    development, folds, test, features = embedding_tables(spark, sf)
-    run = N.run_protocol(development, folds, test, features, N.LogisticLearner(max_iter=25), SEED, fixed={"emb": {"C": 0.1, "class_weight": None}})
+    """Bootstrap intervals of the bundle, raw and calibrated, of all test rows and of entity-disjoint rows."""
+    development, folds, test, values = embedding_tables(spark, sf)
+    run = N.run_protocol(development, folds, test, N.as_sparse(values), N.LogisticLearner(), SEED, fixed={"emb": {"C": 0.1, "class_weight": None}})
     run.predictions = run.predictions.unionByName(N.disjoint_predictions(run, development).withColumn("cohort_id", F.lit("test_disjoint")))
     return N.interval_table(run, REPLICATES, SEED)
 
 
 @query
 def tree_tuned(spark, sf):
-    """Two boosted-tree candidates on all folds, with few rounds."""
-    _, folds, _, features = embedding_tables(spark, sf)
-    rows = cut_lineage(N.join_features(folds, features))
-    learner = N.TreeLearner(rounds=5)
-    grid = [p for p in learner.grid() if p["leaves"] == 15 and p["min_rows"] == 20]
-    return N.tune(rows, learner, grid, SEED)[1]
+    """All boosted-tree candidates on all folds, with few rounds."""
+    _, folds, _, values = embedding_tables(spark, sf)
+    learner = N.TreeLearner(rounds=TREE_ROUNDS)
+    return N.tune(folds, N.as_vectors(values), learner, learner.grid(), SEED)[1]
 
 
-COARSE = S.BinAxis(width=600.0)
+TREE_ROUNDS = 5
 
 
-def spectrum_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Coarse binned spectra as vectors; every order has a row, also one without a peak."""
-    binned = S.dense_vectors(S.bin_spectra(V.peaks(spark, sf), COARSE), "spectrum_id", COARSE.n_bins)
-    zeros = F.array(*[F.lit(0.0)] * COARSE.n_bins)
-    all_rows = V.spectra(spark, sf).select("spectrum_id").join(binned, "spectrum_id", "left")
-    return N.as_vectors(all_rows.select(F.col("spectrum_id").alias("sample_id"), F.coalesce("values", zeros).alias("values")))
+COARSE = S.BinAxis(width=600.0)  # 30 bins, for the runs of more than a thousand models
+
+
+def spectrum_features(spark: SparkSession, sf: str, axis: S.BinAxis = S.BinAxis()) -> DataFrame:
+    """Binned spectra (6,000 bins) with the nonzero places of each; every order has a row, also one without a peak."""
+    binned = N.G.sparse_from_bins(S.bin_spectra(V.peaks(spark, sf), axis), "spectrum_id")
+    rows = V.spectra(spark, sf).select("spectrum_id").join(binned, "spectrum_id", "left")
+    return rows.select(
+        F.col("spectrum_id").alias("sample_id"), F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("val", F.array().cast("array<double>")).alias("val")
+    )
+
+
+def purged_folds(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Adequate monthly folds of ``rows`` without validation rows of training entities; ``history`` joins every training part."""
+    needed = ["task", "sample_id", "cluster_id", "d", "y"]
+    everything = rows.select(*needed) if history is None else rows.select(*needed).unionByName(history.select(*needed))
+    table = C.month_fold_rows(rows.select(*needed)).select("task", "fold_index", "sample_id", "split")
+    folds, audit = C.fold_table_with_history(everything, table, None if history is None else history.select(*needed))
+    adequate = audit.where(F.col("status") == "adequate").select("task", "fold_index")
+    return folds.join(adequate, ["task", "fold_index"], "left_semi").select("task", "fold_index", "split", "sample_id", "cluster_id", "y")
 
 
 @query
 def source_only_sites(spark, sf):
     """Models of the first site's development rows, evaluated on later rows of both sites.
 
-    The purge keeps the first site's test entity-disjoint; calibration uses the raw probability.
+    Folds and the first site's test are entity-disjoint; calibration uses the raw probability.
     """
     base = V.samples(spark, sf).select("task", "sample_id", "site_id", "cluster_id", "d", "y")
     development = V.development(base).where(F.col("site_id") == "A").drop("site_id")
-    folds = C.month_fold_rows(development).select("task", "fold_index", "split", "sample_id", "y")
     later = V.test_rows(base)
     source = C.purge(development, later.where(F.col("site_id") == "A"), BY_TASK).withColumn("cohort_id", F.lit("source"))
     target = later.where(F.col("site_id") == "B").withColumn("cohort_id", F.lit("target"))
     evaluation = source.unionByName(target).drop("site_id", "d")
-    fixed = {t: {"C": 1.0, "class_weight": "positive_ratio"} for t in TASKS}
-    run = N.run_protocol(development.drop("d"), folds, evaluation, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), SEED,
-                         fixed=fixed, platt_on_logit=False)
+    run = N.run_protocol(development.drop("d"), purged_folds(development), evaluation, spectrum_features(spark, sf), N.LogisticLearner(), SEED,
+                         platt_on_logit=False, disjoint_cohorts=["source"])
     counts = C.cohort_counts(run.predictions, ["task", "cohort_id"])
     return M.guarded_rows(counts, N.evaluate_run(run), ["task", "cohort_id"])
 
@@ -873,48 +881,161 @@ TASKS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 @query
 def size_matched_run(spark, sf):
-    """Models of size-matched training cells of three regimes on one entity-disjoint test, compared in pairs."""
+    """Models of size-matched training cells of three regimes on one entity-disjoint test, compared in pairs: 20 repeats of 4 fractions."""
     pools = eras(spark, sf)
-    cells = Z.size_matched_cells(pools, repeats=1, seed=SEED, fractions=(1.0,), prespecified=False)
-    cells = cells.withColumn("cell", F.concat_ws("|", F.col("repeat_index").cast("string"), "learning_fraction", "training_regime"))
+    cells = cut_lineage(Z.size_matched_cells(pools, seed=SEED))
+    name = F.concat_ws("|", F.col("repeat_index").cast("string"), "learning_fraction", "training_regime")
     test = C.purge(pools, V.test_rows(V.samples(spark, sf)), BY_TASK)
-    scored = N.fit_cells(cells, test, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), {"C": 0.1, "class_weight": None}, SEED, ["task", "cell"])
     keys = ["task", "cell"]
+    scored = N.fit_cells(cells.withColumn("cell", name), test, spectrum_features(spark, sf, COARSE), N.LogisticLearner(), {"C": 0.1, "class_weight": None}, SEED, keys)
     scores = M.score_metrics(scored, keys, "raw_probability")
-    audit = Z.cell_audit(cells)
     signature = R.tree_digest(test, BY_TASK, R.row_text(["sample_id", "cluster_id", "y"], "|")).select(
         "task", F.col("tree_sha256").alias("fixed_test_signature"), F.col("n").alias("n_test")
     )
-    metrics = audit.withColumn("cell", F.concat_ws("|", F.col("repeat_index").cast("string"), "learning_fraction", "training_regime")).join(
+    metrics = Z.cell_audit(cells).withColumn("cell", name).join(
         scores.select(*keys, F.col("auroc").alias("raw_auroc"), F.col("auprc").alias("raw_auprc")), keys
     ).join(signature, "task")
     return Z.paired_deltas(metrics)
 
 
+REGIMES = ("pre_marker_history_only", "current_workflow_only", "pooled_pre_and_current")
+
+
+def regime_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Development and purged folds per training regime, and the common test: entity-disjoint and all rows."""
+    base = V.samples(spark, sf).where(X.usable("cluster_id")).select("task", "sample_id", "cluster_id", "d", "y")
+    windows = [w for w in V.DATES.regimes() if w.role == "development"]
+    training = C.assign_windows(base, windows).select("task", F.col("cohort").alias("training_regime"), "sample_id", "cluster_id", "d", "y").distinct()
+    later = V.test_rows(base)
+    rows = {r: training.where(F.col("training_regime") == r).drop("training_regime") for r in REGIMES}
+    parts = {
+        REGIMES[0]: purged_folds(rows[REGIMES[0]]), REGIMES[1]: purged_folds(rows[REGIMES[1]]), REGIMES[2]: purged_folds(rows[REGIMES[1]], rows[REGIMES[0]]),
+    }
+    folds = K.all_checks([p.withColumn("training_regime", F.lit(r)) for r, p in parts.items()])
+    return training.drop("d"), folds, C.purge(training, later, BY_TASK).drop("d"), later.drop("d")
+
+
+def history_protocol(spark: SparkSession, sf: str) -> N.ProtocolRun:
+    """One run over all (task, regime) pairs with fixed parameters: calibration, thresholds and scores of the common test per regime."""
+    training, folds, test, _ = regime_tables(spark, sf)
+    pair = F.concat_ws("|", "task", "training_regime").alias("task")
+    cells = training.select("task", "training_regime").distinct()
+    common = test.join(cells, "task").withColumn("cohort_id", F.lit("common_test"))
+    fixed = {f"{t}|{r}": {"C": 0.1, "class_weight": None} for t in TASKS for r in REGIMES}
+    return N.run_protocol(
+        training.select(pair, "sample_id", "cluster_id", "y"), folds.select(pair, "fold_index", "split", "sample_id", "cluster_id", "y"),
+        common.select(pair, "cohort_id", "sample_id", "cluster_id", "y"), spectrum_features(spark, sf), N.LogisticLearner(), SEED, fixed=fixed,
+        disjoint_cohorts=["common_test"],
+    )
+
+
+def split_pair(df: DataFrame) -> DataFrame:
+    at = lambda i: F.split("task", r"\|")[i]
+    return df.select(at(0).alias("task"), at(1).alias("training_regime"), *[c for c in df.columns if c != "task"])
+
+
+@query
+def history_bundle(spark, sf):
+    """The metric bundle of the common test per task and training regime, with that regime's calibration and thresholds."""
+    return split_pair(N.evaluate_run(history_protocol(spark, sf), calibration=True))
+
+
 @query
 def history_run(spark, sf):
     """One common test, models of three training regimes with fixed parameters, paired bootstrap of the differences."""
-    base = V.samples(spark, sf).where(X.usable("cluster_id"))
-    regimes = [w for w in V.DATES.regimes() if w.role == "development"]
-    training = C.assign_windows(base, regimes).select("task", F.col("cohort").alias("training_regime"), "sample_id", "cluster_id", "y").distinct()
-    test = C.purge(training, V.test_rows(base), BY_TASK)
-    scored = N.fit_cells(training, test, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), {"C": 0.1, "class_weight": None}, SEED,
-                         ["task", "training_regime"])
-    names = ("pre_marker_history_only", "current_workflow_only", "pooled_pre_and_current")
-    aligned = R.align_regimes(scored, ["task", "sample_id", "cluster_id", "y"], "training_regime", names, "raw_probability")
-    return B.paired_differences(aligned, BY_TASK, names, "current_workflow_only", replicates=REPLICATES, seed=SEED)
+    scored = split_pair(history_protocol(spark, sf).predictions)
+    aligned = R.align_regimes(scored, ["task", "sample_id", "cluster_id", "y"], "training_regime", REGIMES, "raw_probability")
+    return B.paired_differences(aligned, BY_TASK, REGIMES, "current_workflow_only", replicates=REPLICATES, seed=SEED)
 
 
 @query
 def annual_cells(spark, sf):
-    """Train on all years before the last, adequate yearly folds, test on the last year, all and entity-disjoint."""
+    """Tune on adequate yearly folds of all years before the last, test on the last year, all and entity-disjoint; cells that fail the gate keep a status row."""
     base = V.samples(spark, sf).select("task", "sample_id", "cluster_id", "d", "year", "y")
     development, last = base.where(F.col("year") < 2000), base.where(F.col("year") == 2000)
     folds = C.year_fold_rows(development, C.year_fold_audit(development)).select("task", "fold_index", "split", "sample_id", "y")
     everything = last.withColumn("cohort_id", F.lit("all_samples"))
-    run = N.run_protocol(development, folds, everything, spectrum_vectors(spark, sf), N.LogisticLearner(max_iter=15), SEED,
-                         fixed={t: {"C": 0.1, "class_weight": None} for t in TASKS})
-    disjoint = C.purge(development, run.predictions, BY_TASK, mode="annual").withColumn("cohort_id", F.lit("entity_disjoint"))
-    run.predictions = run.predictions.unionByName(disjoint)
-    counts = C.cohort_counts(run.predictions, ["task", "cohort_id"])
-    return M.guarded_rows(counts, N.evaluate_run(run), ["task", "cohort_id"])
+    disjoint = C.purge(development, last, BY_TASK, mode="annual").withColumn("cohort_id", F.lit("entity_disjoint"))
+    evaluation = everything.unionByName(disjoint).drop("d", "year")
+    spine = spine_of(spark, "annual", TASKS, ("2000",), {"all_samples": True, "entity_disjoint": False}, "development_and_primary").drop("family", "cell")
+    plan = cut_lineage(P.run_plan(spine, development, folds, evaluation, BY_TASK))
+    fits = plan.where("fits").select("task").distinct()
+    only = lambda df: df.join(fits, "task", "left_semi")
+    run = N.run_protocol(only(development).drop("d", "year"), only(folds), only(evaluation), spectrum_features(spark, sf), N.LogisticLearner(), SEED)
+    bundle = N.evaluate_run(run)
+    ok, values = F.col("status") == "ok", [c for c in bundle.columns if c not in ("task", "cohort_id", "positive_n", "negative_n")]
+    return plan.join(bundle, ["task", "cohort_id"], "left").select(*plan.columns, *[F.when(ok, F.col(v)).alias(v) for v in values])
+
+
+# --- three families of protocols in one plan -----------------------------------------------------
+
+PLAN_YEARS = (1996, 1997, 1998, 1999, 2000, 2001, 2002)
+SITE_COHORTS = {"source_entity_disjoint": True, "source_all_samples": False, "target_primary": False, "target_full_period": False}
+
+
+def spine_of(spark: SparkSession, family: str, tasks, cells, cohorts: dict[str, bool], gate: str) -> DataFrame:
+    rows = [(family, t, c, k, primary, gate) for t in tasks for c in cells for k, primary in cohorts.items()]
+    return spark.createDataFrame(rows, "family string, task string, cell string, cohort_id string, is_primary boolean, gate string")
+
+
+def family_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Spine, development, folds and evaluation of the annual, training-history and cross-site families."""
+    base = V.samples(spark, sf).select("task", "sample_id", "site_id", "cluster_id", "d", "year", "y")
+    spine = K.all_checks([
+        spine_of(spark, "annual", TASKS, [str(y) for y in PLAN_YEARS], {"entity_disjoint": True, "all_samples": False}, "development_and_primary"),
+        spine_of(spark, "training_history", TASKS, REGIMES, {"common_entity_disjoint": True, "common_all_samples": False}, "development"),
+        spine_of(spark, "cross_site", TASKS, ("source",), SITE_COHORTS, "development"),
+    ])
+    columns = ["family", "task", "cell", "sample_id", "cluster_id", "y"]
+
+    def of(df: DataFrame, family: str, cell, *more: str) -> DataFrame:
+        return df.withColumn("family", F.lit(family)).withColumn("cell", cell).select(*columns[:3], *more, *columns[3:])
+
+    # annual: every year tests once; the folds of a test year are the adequate years before it
+    later_years = F.explode(F.array(*[F.lit(y) for y in PLAN_YEARS])).alias("test_year")
+    test_year = F.col("test_year").cast("string")
+    annual_dev = base.select("*", later_years).where(F.col("year") < F.col("test_year"))
+    audit = C.year_fold_audit(base)
+    year_folds = C.year_fold_rows(base, audit).select("*", later_years).where(F.col("fold_index") < F.col("test_year"))
+    tested = base.where(F.col("year").isin(*PLAN_YEARS)).withColumn("test_year", F.col("year"))
+    first = base.groupBy("task", "cluster_id").agg(F.min("year").alias("_first")).withColumnRenamed("cluster_id", "_c")
+    unseen = tested.join(first.withColumnRenamed("task", "_t"), (F.col("task") == F.col("_t")) & (F.col("cluster_id") == F.col("_c")), "left")
+    unseen = unseen.where(X.usable("cluster_id") & (F.coalesce("_first", "year") >= F.col("year"))).drop("_t", "_c", "_first")
+
+    training, history_folds, common, common_all = regime_tables(spark, sf)
+    regime = F.col("training_regime")
+    tests = training.select("task", "training_regime").distinct()
+    source = V.development(base).where(F.col("site_id") == "A")
+    later = V.test_rows(base)
+    of_site = lambda df, name: of(df.withColumn("cohort_id", F.lit(name)), "cross_site", F.lit("source"), "cohort_id")
+    as_cohort = lambda df, family, cell, name: of(df.withColumn("cohort_id", F.lit(name)), family, cell, "cohort_id")
+    development = K.all_checks([
+        of(annual_dev, "annual", test_year), of(training, "training_history", regime), of(source, "cross_site", F.lit("source")),
+    ])
+    fold = lambda df, family, cell: of(df.withColumn("fold_index", F.col("fold_index").cast("int")), family, cell, "fold_index", "split")
+    folds = K.all_checks([
+        fold(year_folds, "annual", test_year), fold(history_folds, "training_history", regime), fold(purged_folds(source), "cross_site", F.lit("source")),
+    ])
+    evaluation = K.all_checks([
+        as_cohort(unseen, "annual", test_year, "entity_disjoint"), as_cohort(tested, "annual", test_year, "all_samples"),
+        as_cohort(common.join(tests, "task"), "training_history", regime, "common_entity_disjoint"),
+        as_cohort(common_all.join(tests, "task"), "training_history", regime, "common_all_samples"),
+        of_site(C.purge(source, later.where(F.col("site_id") == "A"), BY_TASK), "source_entity_disjoint"),
+        of_site(later.where(F.col("site_id") == "A"), "source_all_samples"),
+        of_site(later.where(F.col("site_id") == "B"), "target_primary"), of_site(base.where(F.col("site_id") == "B"), "target_full_period"),
+    ])
+    return spine, development, folds, evaluation
+
+
+@query
+def sensitivity_plan(spark, sf):
+    """What the logistic sensitivity over three protocol families would fit, and why not, before any fit."""
+    return P.run_plan(*family_tables(spark, sf))
+
+
+@query
+def sensitivity_run(spark, sf):
+    """The planned logistic models of all families, tuned, refitted and evaluated together; one row per planned cohort."""
+    spine, development, folds, evaluation = family_tables(spark, sf)
+    plan = P.run_plan(spine, development, folds, evaluation)
+    return P.run_cells(plan, development, folds, evaluation, spectrum_features(spark, sf, COARSE), N.LogisticLearner(), SEED, replicates=REPLICATES)[0]
