@@ -836,7 +836,7 @@ def tree_tuned(spark, sf):
 TREE_ROUNDS = 5
 
 
-COARSE = S.BinAxis(width=600.0)  # 30 bins, for the runs of more than a thousand models
+COARSE = S.BinAxis(width=600.0)  # 30 bins, for the runs that tune or fit hundreds of models
 
 
 def spectrum_features(spark: SparkSession, sf: str, axis: S.BinAxis = S.BinAxis()) -> DataFrame:
@@ -870,7 +870,7 @@ def source_only_sites(spark, sf):
     source = C.purge(development, later.where(F.col("site_id") == "A"), BY_TASK).withColumn("cohort_id", F.lit("source"))
     target = later.where(F.col("site_id") == "B").withColumn("cohort_id", F.lit("target"))
     evaluation = source.unionByName(target).drop("site_id", "d")
-    run = N.run_protocol(development.drop("d"), purged_folds(development), evaluation, spectrum_features(spark, sf), N.LogisticLearner(), SEED,
+    run = N.run_protocol(development.drop("d"), purged_folds(development), evaluation, spectrum_features(spark, sf, COARSE), N.LogisticLearner(), SEED,
                          platt_on_logit=False, disjoint_cohorts=["source"])
     counts = C.cohort_counts(run.predictions, ["task", "cohort_id"])
     return M.guarded_rows(counts, N.evaluate_run(run), ["task", "cohort_id"])
@@ -961,7 +961,7 @@ def annual_cells(spark, sf):
     plan = cut_lineage(P.run_plan(spine, development, folds, evaluation, BY_TASK))
     fits = plan.where("fits").select("task").distinct()
     only = lambda df: df.join(fits, "task", "left_semi")
-    run = N.run_protocol(only(development).drop("d", "year"), only(folds), only(evaluation), spectrum_features(spark, sf), N.LogisticLearner(), SEED)
+    run = N.run_protocol(only(development).drop("d", "year"), only(folds), only(evaluation), spectrum_features(spark, sf, COARSE), N.LogisticLearner(), SEED)
     bundle = N.evaluate_run(run)
     ok, values = F.col("status") == "ok", [c for c in bundle.columns if c not in ("task", "cohort_id", "positive_n", "negative_n")]
     return plan.join(bundle, ["task", "cohort_id"], "left").select(*plan.columns, *[F.when(ok, F.col(v)).alias(v) for v in values])

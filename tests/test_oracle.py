@@ -11,7 +11,8 @@ FOLDER = os.environ.get("COMPARE_DIR", "/root/testdata/sf0.001")
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()
 MODEL_QUERIES = {
-    "logistic_tuned", "logistic_protocol", "logistic_intervals", "tree_tuned", "source_only_sites", "size_matched_run", "history_run", "annual_cells",
+    "logistic_tuned", "logistic_protocol", "logistic_intervals", "tree_tuned", "source_only_sites", "size_matched_run", "history_run", "history_bundle", "annual_cells",
+    "sensitivity_run",
 }
 
 
