@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlane.llm import manifest, shared, token_counts
+from cohortlane.llm import manifest, prefix_trie, shared, token_counts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -158,3 +158,64 @@ def test_running_values_cross_ranges(spark):
             x, s = x ^ v, s + v
             want.append((g, o, v, place, x, s))
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+# --- prefix tries -------------------------------------------------------------------------------------------------
+
+
+def plain_trie(rows):
+    """Nodes of the rebuilt conversations by definition; ties of a turn by the digest of role and text."""
+    told = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            told.setdefault(conv, []).append((turn is not None, turn or 0, sha(f"{len(role.encode())}:{role}{text}")[:30], role, text))
+    own = {c: [(r, t) for *_, r, t in sorted(turns)] for c, turns in told.items()}
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+    members = {}
+    for c, seq in built.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(seq[:d], []).append(c)
+    children = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    out = {}
+    for node in sorted(members, key=len, reverse=True):
+        under = [out[k] for k in children.get(node, [])]
+        saved = (len(members[node]) - 1) * (len(node[-1][1]) if node else 0) + sum(u["saved"] for u in under)
+        out[node] = {"leaves": sum(u["leaves"] for u in under) or 1, "saved": saved}
+    return [
+        (min(m), len(node), min(members[node[:-1]]) if node else None, len(m), len(children.get(node, [])), out[node]["leaves"], out[node]["saved"],
+         sha(",".join(str(c) for c in sorted(m) if built[c] == node)))
+        for node, m in members.items()
+    ]
+
+
+def conversations(seed):
+    draw = random.Random(seed)
+    yield []
+    yield [(5, None, None, None)]
+    rows = []
+    for c in [*range(0, 60), *range(100, 130), *range(215, 230), 10**15 + 7]:
+        rows += [(c, t, draw.choice(["user", "assistant", None]), draw.choice(["a", "bb", "", None, "é"])) for t in range(draw.randrange(1, 9))]
+    copied = [(t, "user", f"line {t}") for t in range(5)]
+    rows += [(c, *turn) for c in range(300, 400) for turn in copied]  # a large group of copies
+    rows += [(7, None, "user", "x"), (7, None, "user", "x"), (7, 2, "user", "tie"), (7, 2, "user", "other tie"), (None, 1, "user", "no conversation")]
+    rows += [(1, t, "user", f"long {t % 7}") for t in range(10, 1500)]  # one conversation has most of the rows
+    yield rows
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_trie_equals_the_definition(spark, case):
+    rows = list(conversations(5))[case]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("x")).withColumn("place", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false" if case == 2 else "true")  # several ranges
+    try:
+        got = [tuple(r) for r in prefix_trie.conversation_trie(table).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got, key=repr) == sorted(plain_trie(rows), key=repr)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 
@@ -85,6 +86,32 @@ def test_rules_reject_little_that_is_clean_and_the_model_learns(spark):
     assert all(scored[k].predicted == q for k, q in labels) and all(0 <= r.score <= 1 for r in scored.values())
 
 
+def test_cutoffs_follow_the_exact_bound_and_small_strata_are_pooled(spark):
+    """Chosen rungs are the last that a plain count of held-out rejections proves; strata with few labels share one test; no label, no cutoff."""
+    draw = random.Random(6)
+    rows, labels = [], []
+    for k in range(2400):
+        stratum = "big" if k < 1800 else f"s{k % 4}" if k < 2300 else "none"
+        bad = k % 5 == 0
+        text = [w + ("#" if bad or draw.random() < 0.004 else "") for w in draw.choices([f"n{j}x" for j in range(300)], k=40)]
+        rows.append((k, " ".join(text), stratum))
+        if stratum != "none":
+            labels.append((k, int(not bad)))
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs, told).collect()}
+    assert {r.tested_as for r in got.values() if r.stratum == "big"} == {"=big"} and {r.tested_as for r in got.values() if r.stratum[0] == "s"} == {"*"}
+    assert all(r.tested_as is None and r.rung is None and r.kept for r in got.values() if r.stratum == "none")
+    for group in ("=big", "*"):
+        held = [got[k] for k, q in labels if q and got[k].tested_as == group and zlib.crc32(str(k).encode()) % 4]
+        rejected = sum(not r.kept for r in held)
+        assert quality_rules.upper_bound(rejected, len(held), quality_rules.LEVEL / 2) <= quality_rules.RISK
+        assert sum(not got[k].kept for k, q in labels if not q and got[k].tested_as == group) > 0.9 * sum(1 for k, q in labels if not q and got[k].tested_as == group)
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert all(r.kept for r in quality_rules.judge(docs, empty).collect()) and quality_rules.judge(docs.limit(0), told).count() == 0
+    odd = spark.createDataFrame([(None, "a " * 30, None), (1, None, "big"), (1, "b " * 5, "big")], "doc_id long, text string, lang string").withColumn("stratum", F.lit(1))
+    assert sorted((r.doc_id or 0, r.kept) for r in quality_rules.judge(odd, told).collect()) == [(0, False), (1, False), (1, False)]
+
+
 def test_quality_model_without_labels_texts_or_ids(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)] + [(None, "a"), (3, "again")], "doc_id long, text string")
     got = quality_model.predict(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
