@@ -6,7 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,14 +64,41 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that :func:`stored` wrote and nothing needs any more."""
+    """Delete tables that :func:`stored` wrote, or that were made of such tables only, once nothing needs them any more."""
     for df in tables:
-        files = df.inputFiles()
-        folder = files[0].rsplit("/", 1)[0].rsplit("/", 1)[-1] if files else None
-        for item in [x for x in _written if x[1].endswith(f"/{folder}")]:
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+        for item in [x for x in _written if x[1].rsplit("/", 1)[-1] in folders]:
             _delete(item)
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as a stored table; the tables stored on the way to it are deleted."""
+    before = {path for _, path in _written}
+    out = stored(make())
+    last = _written[-1][1]
+    for item in [x for x in _written if x[0] is spark and x[1] not in before and x[1] != last]:
+        _delete(item)
+    return out
+
+
+BITS = 1 << 26
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in the column of that name of ``keys``: all that are, and a share of about
+    keys / ``bits`` of the others, so that a join with ``keys`` has less to shuffle. No shuffle of ``df``.
+
+    Keys set bits of a broadcast map of at most ``bits`` / 8 bytes, at any number of keys. With many more keys all rows stay.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(bits))
+    block, place = F.shiftright(bit, 15), bit.bitwiseAND(F.lit(32767))  # bitmap_construct_agg makes maps of 32,768 bits
+    maps = keys.select(block.alias("_block"), place.alias("_place")).groupBy("_block").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(F.col("_place"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("_place & 7").cast("int")
+    rows = df.select("*", block.alias("_block"), place.alias("_place")).join(F.broadcast(maps), "_block")
+    return rows.filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), hit)) != 0).select(*df.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that :func:`stored` wrote in this session."""
     for item in [x for x in _written if x[0] is spark]:

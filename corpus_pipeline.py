@@ -27,9 +27,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id; rows without an id all stay."""
-    first = ngram_join.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, the one of smallest id; rows without an id all stay.
+
+    Of rows with one id, which are one document, the row of the smallest hash over all columns stays.
+    """
+    first = shared.alone(spark, lambda: ngram_join.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct())
+    digest = F.xxhash64(*docs.columns)
+    row = docs.select("doc_id", digest.alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("digest")).join(first, "doc_id", "left_semi")
+    named = docs.withColumn("digest", digest).join(row, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
