@@ -60,22 +60,34 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+_SPANS = "array<struct<start:int,kind_order:int,end:int,kind:string,value:string>>"
+_BLOCK = 256
+
+
 def _located(text: Column, pattern: Column, kind: str, order: int) -> Column:
-    """array<struct<start, kind_order, end, kind, value>> of all matches, in code points, end exclusive."""
-    gaps = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string,value:string>>)").alias("spans"))
+    """array<struct<start, kind_order, end, kind, value>> of all matches, in code points, end exclusive.
+
+    The text is cut once into gaps and matches. Spans gather in blocks of ``_BLOCK``, as each addition to an array copies it.
+    """
+    start = F.struct(
+        F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("block"), F.expr(f"cast(array() as array<{_SPANS}>)").alias("full")
+    )
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["match"])
-        span = F.struct(
+        span = F.array(F.struct(
             begin.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("value")
+        ))
+        whole = F.size(state["block"]) >= _BLOCK
+        return F.struct(
+            end.alias("at"), F.when(whole, span).otherwise(F.concat(state["block"], span)).alias("block"),
+            F.when(whole, F.concat(state["full"], F.array(state["block"]))).otherwise(state["full"]).alias("full"),
         )
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, start, step, lambda state: state["spans"])
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    matched = F.filter(pairs, lambda p: p["match"].isNotNull())  # a gap more than matches
+    return F.aggregate(matched, start, step, lambda state: F.flatten(F.concat(state["full"], F.array(state["block"]))))
 
 
 def _kept(kind: str, spans: Column) -> Column:
@@ -87,7 +99,7 @@ def _of_kind(kind: str, spans: str) -> Column:
 
 
 def _base(text: Column) -> Column:
-    none = F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int,kind:string,value:string>>)")
+    none = F.expr(f"cast(array() as {_SPANS})")
     found = []
     for order, kind in enumerate(KINDS):
         pattern = F.lit(PATTERNS[kind])
@@ -96,8 +108,12 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def _spelled(text: Column) -> Column:
+    return F.split(F.translate(text, _PUNCTUATION, " " * len(_PUNCTUATION)), " ")
+
+
 def _words(text: Column) -> Column:
-    return F.split(F.translate(F.lower(text), _PUNCTUATION, " " * len(_PUNCTUATION)), " ")
+    return _spelled(F.lower(text))
 
 
 def _entity(span: Column) -> Column:
@@ -207,15 +223,16 @@ def _few(df: DataFrame, weight: Column, most: int = 100_000) -> DataFrame:
 
 
 def _marked(found: DataFrame, words: DataFrame) -> DataFrame:
-    """``found`` with ``pii_spans``: every row is searched for the terms that it holds, with or without an entity."""
+    """``found`` with ``pii_spans``: every row is searched for the terms that it holds, as it spells them, with or without an entity."""
     held = (
-        found.select("pii_row", F.explode(F.array_distinct(_words(F.col("pii_text")))).alias("term")).join(_few(words, F.lit(1)), "term")
-        .groupBy("pii_row").agg(F.sort_array(F.collect_set("term"), asc=False).alias("terms"))
+        found.select("pii_row", F.explode(F.array_distinct(_spelled(F.col("pii_text")))).alias("spelled"))
+        .withColumn("term", F.lower("spelled")).join(_few(words, F.lit(1)), "term")
+        .groupBy("pii_row").agg(F.sort_array(F.collect_set("spelled"), asc=False).alias("terms"))
     )
     held = shared.stored(held)
     quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), "|")
     edge = r"[\s" + "".join(f"\\{c}" for c in _PUNCTUATION if not c.isspace()) + "]"
-    pattern = F.concat(F.lit(rf"(?iu)(?:(?<={edge})|^)(?:"), quoted, F.lit(rf")(?={edge}|$)"))
+    pattern = F.concat(F.lit(rf"(?:(?<={edge})|^)(?:"), quoted, F.lit(rf")(?={edge}|$)"))
     return found.join(_few(held, F.size("terms")), "pii_row", "left").withColumn(
         "pii_spans",
         F.when(F.col("terms").isNull(), F.col("pii_base")).otherwise(F.array_sort(F.concat(
