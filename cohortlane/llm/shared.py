@@ -43,14 +43,18 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def smaller_batches(df: DataFrame) -> DataFrame:
-    """Let the session hand texts to Python in batches of at most ``BATCH_ROWS`` rows, which bounds the memory of a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
+    """Let the session hand texts to Python in batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``, which bounds their memory."""
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(rows))
     if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size, None) in (None, "-1", "2147483647", "2147483647b"):  # unset: no bound
+        conf.set(size, str(BATCH_BYTES))
     return df
 
 
