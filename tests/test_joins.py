@@ -77,3 +77,15 @@ def test_bad_scores_and_labels_fail(spark, score, y):
     for measure in (M.score_metrics, M.operating_points):
         with pytest.raises(Exception, match="score outside"):
             measure(rows, ["g"]).collect()
+
+
+def test_registered_union_has_one_row_per_key(spark):
+    from cohortlane.plans import views as V
+    from cohortlane.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["union_of_parts"](spark, folder)
+    assert got.columns == ["task", "sample_id", "raw", "alt"]
+    rows, whole = got.collect(), V.samples(spark, folder).select("task", "sample_id").collect()
+    assert sorted((r.task, r.sample_id) for r in rows) == sorted(map(tuple, whole))
+    assert all((r.raw is None) != (r.alt is None) for r in rows)
