@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +26,37 @@ FORBIDDEN_SUFFIXES = (
 )
 
 
+WHOLE = 128 << 20  # bytes of a file that is hashed as one value
+PIECE = 8 << 20
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their SHA-256, read piece by piece."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            place = re.sub(r"^file:/+", "/", path)
+            system, name = (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(place)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+
 def artifact_manifest(spark: SparkSession, root: str, pattern: str = "*", size_limit: int | None = None) -> DataFrame:
     """Path below ``root``, bytes and SHA-256 of all files under it.
 
-    A file's content is one value, which Spark limits to 2 GB; tables are compared by the digest of their rows
-    (``compare.tree_digest``). With ``size_limit`` larger files are listed without a digest.
+    The content of a file of at most ``WHOLE`` bytes is one value; a larger one, of any size, is read piece by piece. A SHA-256 is computed
+    from the first byte to the last, so one task reads a file. With ``size_limit`` larger files are listed without a digest.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     read = F.lit(True) if size_limit is None else F.col("length") <= size_limit
-    hashed = files.where(read).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit("hashed").alias("hash_status"))
+    small = F.col("length") <= WHOLE
+    hashed = files.where(read & small).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    hashed = hashed.unionByName(files.where(read & ~small).select("path", "length").mapInArrow(_streamed, "path string, length long, sha256 string"))
+    hashed = hashed.withColumn("hash_status", F.lit("hashed"))
     if size_limit is not None:
         hashed = hashed.unionByName(files.where(~read).select(
             "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit("skipped_size").alias("hash_status")

@@ -143,3 +143,16 @@ def test_private_patterns(spark):
     rows = A.pattern_audit(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t")
     assert {(r.i, r.pattern): r.match_n for r in rows.collect()} == {
         (0, "linux_absolute_home"): 2, (1, "private_ipv4"): 2, (2, "windows_absolute_path"): 1, (3, "mac_absolute_home"): 1}
+
+
+def test_large_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from cohortlane.sources import artifacts
+
+    data = {"small.bin": b"abc", "large one.bin": bytes(range(256)) * 5000}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(artifacts, "WHOLE", 1000)
+    found = {r.relative_path: (r.bytes, r.sha256, r.hash_status) for r in artifacts.artifact_manifest(spark, str(tmp_path)).collect()}
+    assert found == {n: (len(c), hashlib.sha256(c).hexdigest(), "hashed") for n, c in data.items()}
