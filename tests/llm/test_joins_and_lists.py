@@ -63,6 +63,24 @@ def test_components_equal_those_of_all_pairs(spark):
     assert got == plain_components(plain_sets(rows))
 
 
+def test_shingles_are_dealt_in_shares(spark, monkeypatch):
+    tables, store = [], shared.stored
+
+    def watched(df):
+        out = store(df)
+        if "p_pos" in df.columns:
+            tables.append({r.shingle for r in out.select("shingle").distinct().collect()})
+        assert "segment" not in df.columns or not tables  # counters are gone by then
+        return out
+
+    monkeypatch.setattr(shared, "stored", watched)
+    rows = corpus(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(plain_sets(rows))
+    assert len(tables) == ngram_join.SHARES and all(tables)
+    assert sum(map(len, tables)) == len(set().union(*tables))
+
+
 def test_repeated_and_null_ids_and_an_empty_table(spark):
     text = "a b c d e f g h"
     rows = [(1, text), (1, text), (2, text + " i"), (None, text), (None, None), (4, "q r s t u v"), (9, "q r s t u v")]
