@@ -20,9 +20,10 @@ class LabelAudit:
     mapping: DataFrame
 
 
-def collapsed_with_features(scoped: DataFrame, samples: DataFrame, order: Sequence[str]) -> DataFrame:
+def collapsed_with_features(labels: DataFrame, samples: DataFrame, order: Sequence[str], **scope) -> DataFrame:
+    """Features are linked to the label rows, which may be dealt by sample already, so that collapsed rows are not dealt once more."""
     available = L.available_samples(samples.withColumn("sample_id", F.col("sample_id").cast("string")))
-    return L.link_features(L.collapse_labels(scoped, order), available)
+    return L.collapse_labels(L.normalize_labels(L.scope_labels(L.link_features(labels, available), **scope)), order)
 
 
 def label_audit(
@@ -30,8 +31,9 @@ def label_audit(
     *, sites: Sequence[str] | None = None, year_min: int | None = None, year_max: int | None = None, store: bool = True,
 ) -> LabelAudit:
     """All four audit tables. The collapsed table feeds three of them and is stored once by default."""
-    scoped = L.normalize_labels(L.scope_labels(labels, sites=sites, year_min=year_min, year_max=year_max))
-    collapsed = collapsed_with_features(scoped, samples, order)
+    scope = {"sites": sites, "year_min": year_min, "year_max": year_max}
+    scoped = L.normalize_labels(L.scope_labels(labels, **scope))
+    collapsed = collapsed_with_features(labels, samples, order, **scope)
     if store:
         collapsed = cut_lineage(collapsed)
     inventory = L.combination_inventory(collapsed, thresholds)

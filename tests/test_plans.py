@@ -48,3 +48,8 @@ def test_draws_are_not_broadcast(spark):
     plan = plan_of(entry.queries()["bootstrap_ci"](spark, FOLDER))
     joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
     assert any("slot" in line for line in joins)
+
+
+def test_collapsed_labels_are_not_dealt_again_for_features(spark):
+    plan = plan_of(entry.queries()["collapsed_labels"](spark, FOLDER))
+    assert "Join" not in plan.split("Aggregate")[0]
