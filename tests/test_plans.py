@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from cohortlane import sized
 
 FOLDER = "/root/testdata/sf0.001"
 RELATIONAL = [
@@ -53,3 +54,13 @@ def test_draws_are_not_broadcast(spark):
 def test_collapsed_labels_are_not_dealt_again_for_features(spark):
     plan = plan_of(entry.queries()["collapsed_labels"](spark, FOLDER))
     assert "Join" not in plan.split("Aggregate")[0]
+
+
+@pytest.mark.parametrize("name", ["presence_qc"])
+def test_rows_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch, name):
+    query = entry.queries()[name]
+    before = sorted(map(str, query(spark, FOLDER).collect()))
+    monkeypatch.setattr(sized, "TASK_ROWS", 100)
+    df = query(spark, FOLDER)
+    assert sorted(map(str, df.collect())) == before
+    assert "REPARTITION_BY_NUM" in plan_of(df)
