@@ -56,7 +56,7 @@ def test_collapsed_labels_are_not_dealt_again_for_features(spark):
     assert "Join" not in plan.split("Aggregate")[0]
 
 
-@pytest.mark.parametrize("name", ["presence_qc", "presence_by_semantics", "dense_peaks"])
+@pytest.mark.parametrize("name", ["presence_qc", "presence_by_semantics", "dense_peaks", "leakage_checks"])
 def test_rows_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch, name):
     query = entry.queries()[name]
     before = sorted(map(str, query(spark, FOLDER).collect()))
