@@ -81,6 +81,47 @@ def test_shingles_are_dealt_in_shares(spark, monkeypatch):
     assert sum(map(len, tables)) == len(set().union(*tables))
 
 
+def test_places_that_no_pair_can_have_are_not_kept(spark, monkeypatch):
+    """A long text of five passages, of which each is a text too, shares prefix shingles with texts of other sizes only."""
+    places, store = [], shared.stored
+
+    def watched(df):
+        out = store(df)
+        if "p_pos" in df.columns:
+            places.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(shared, "stored", watched)
+    passages = [" ".join(f"p{k}x{n}" for n in range(40)) for k in range(5)]
+    near = " ".join(f"n{n}" for n in range(50))
+    rows = [*enumerate(passages, 1), (9, " ".join(passages)), (20, near), (21, near + " more")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(plain_sets(rows))
+    assert {r.doc_id for r in places} == {r.p_id for r in places} | {20, 21} == {20, 21}
+
+
+def test_places_keep_both_sides_of_every_possible_pair(spark):
+    draw = random.Random(5)
+    rows = [(s, d, n, draw.randrange(n - -(-3 * n // 4) + 1)) for s in range(60) for d in range(draw.randint(1, 7)) for n in [draw.choice([1, 2, 5, 9, 12, 16, 21, 28, 90])]]
+    table = spark.createDataFrame(rows, "shingle long, doc_id long, n int, pos int").repartition(3)
+    kept = {tuple(r)[:4]: r.p_id for r in ngram_join._with_pivot(table, ngram_join.SIMILARITY).collect()}
+    x, y = (table.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n", "pos"))) for side in "xy")
+    pairs = x.join(y, "shingle").filter("x_doc_id <> y_doc_id").filter(ngram_join._possible(ngram_join.SIMILARITY)).collect()
+    sides = {(r.shingle, r.x_doc_id, r.x_n, r.x_pos) for r in pairs}
+    assert sides and sides <= set(kept) < set(rows)
+    assert all(len({p for k, p in kept.items() if k[0] == s}) == 1 for s in {k[0] for k in kept})
+
+
+def test_batches_only_get_smaller(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(1)
+    shared.smaller_batches(docs)
+    shared.smaller_batches(docs, ngram_join.BATCH_ROWS, ngram_join.BATCH_BYTES)
+    shared.smaller_batches(docs)
+    assert int(spark.conf.get(rows)) <= ngram_join.BATCH_ROWS
+    assert int(spark.conf.get(size).removesuffix("b")) <= ngram_join.BATCH_BYTES
+
+
 def test_repeated_and_null_ids_and_an_empty_table(spark):
     text = "a b c d e f g h"
     rows = [(1, text), (1, text), (2, text + " i"), (None, text), (None, None), (4, "q r s t u v"), (9, "q r s t u v")]
