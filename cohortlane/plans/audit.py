@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlane.operators import labels as L
-from cohortlane.session import cut_lineage
+from cohortlane.session import packed
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def label_audit(
     scoped = L.normalize_labels(L.scope_labels(labels, **scope))
     collapsed = collapsed_with_features(labels, samples, order, **scope)
     if store:
-        collapsed = cut_lineage(collapsed)
+        collapsed = packed(collapsed)
     inventory = L.combination_inventory(collapsed, thresholds)
     return LabelAudit(
         collapsed, inventory, L.support_funnel(scoped, collapsed, inventory, thresholds),

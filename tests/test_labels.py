@@ -101,3 +101,15 @@ def test_agreement(spark):
 
 def test_panel_of_the_views_is_valid():
     L.check_panel(V.PANEL)
+
+
+def test_collapsed_rows_are_stored_by_columns(spark):
+    from cohortlane.plans import views as V
+    from cohortlane.plans.audit import label_audit
+    from cohortlane.plans.registry import SCOPE, collapsed
+
+    folder = "/root/testdata/sf0.001"
+    stored = label_audit(V.ast_labels(spark, folder), V.samples(spark, folder), V.LABEL_ORDER, V.PANEL, **SCOPE).collapsed
+    assert stored.inputFiles() and all(f.endswith(".parquet") for f in stored.inputFiles())
+    assert stored.columns == collapsed(spark, folder).columns
+    assert sorted(map(str, stored.collect())) == sorted(map(str, collapsed(spark, folder).collect()))
